@@ -33,7 +33,7 @@ RULES = (
     Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule("mean_word_length", "word_chars < 3 * n_words OR word_chars > 10 * n_words"),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "10 * n_dup_lines > 5 * n_lines"),
     Rule("capitals", "10 * n_caps_words > 5 * n_words"),
     Rule("stutter", "10 * n_twice_words > 2 * n_words"),
 )
@@ -53,35 +53,27 @@ def _ranks(a: np.ndarray) -> np.ndarray:
     return np.unique(a, return_inverse=True)[1].astype(np.int64)
 
 
-def repeated_words(words: list) -> int:
-    """Words inside 8-word windows that occur at least twice, the first occurrence included. Exact for any length."""
-    n = len(words)
+def repeated_words(ids: np.ndarray, counts: np.ndarray) -> int:
+    """Words inside 8-word windows that occur at least twice, the first occurrence included. Exact for any length.
+
+    ids: the words as numbers; counts: how often each number occurs.
+    """
+    n = len(ids)
     if n <= _WINDOW:
         return 0
-    seen: dict = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, n)
-    if len(seen) == n:
+    # Only windows made of words that all occur twice can repeat.
+    single = np.cumsum(np.concatenate(([0], counts[ids] < 2)))
+    starts = np.flatnonzero(single[_WINDOW:] == single[:-_WINDOW])
+    if len(starts) < 2:
         return 0
-    # A window that repeats has a first word that repeats: count its rank pairs only if a cheap hash repeats too.
-    with np.errstate(over="ignore"):
-        mixed = (ids + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        total = np.zeros(n - _WINDOW + 1, np.uint64)
-        for i in range(_WINDOW):
-            total = total * np.uint64(0xBF58476D1CE4E5B9) + mixed[i : n - _WINDOW + 1 + i]
-    ordered = np.sort(total)
-    if not (ordered[1:] == ordered[:-1]).any():
-        return 0
-    base, rank, width = len(seen), ids, 1
+    base, rank, width = len(counts), ids, 1
     while width < _WINDOW:  # ranks of windows of 2, 4, 8 words: no collisions
-        rank = _ranks(rank[:-width] * np.int64(max(base, rank.max() + 1)) + rank[width:])
+        at = starts if width * 2 == _WINDOW else np.arange(n - 2 * width + 1)
+        rank = _ranks(rank[at] * np.int64(max(base, rank.max() + 1)) + rank[at + width])
         width *= 2
-    often = (np.bincount(rank) > 1)[rank]
-    cover = np.zeros(n + 1, np.int64)
-    starts = np.flatnonzero(often)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + _WINDOW, -1)
-    return int((np.cumsum(cover[:-1]) > 0).sum())
+    starts = starts[(np.bincount(rank) > 1)[rank]]
+    cover = np.bincount(starts, minlength=n + 1) - np.bincount(starts + _WINDOW, minlength=n + 1)
+    return int((np.cumsum(cover) > 0).sum())
 
 
 def measures(text: str | None) -> tuple:
@@ -89,16 +81,21 @@ def measures(text: str | None) -> tuple:
         return (0,) * 8
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # bytes split on exactly \x20 and \x09-\x0D
+    n = len(words)
     space = sum(map(data.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
+    distinct = dict(zip(dict.fromkeys(words), range(n)))
+    ids = np.fromiter(map(distinct.__getitem__, words), np.int64, n)
+    counts = np.bincount(ids, minlength=len(distinct))
+    upper = np.fromiter(map(bytes.isupper, distinct), bool, len(distinct))
     return (
-        len(words),
+        n,
         len(text) - space,
-        sum(data.count(bytes([c])) for c in _SYMBOLS),
+        sum(map(data.count, _SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeated_words(words),
-        sum(w.isupper() for w in words),
-        sum(a == b for a, b in zip(words, words[1:])),
+        repeated_words(ids, counts),
+        int(counts[upper].sum()),
+        int((ids[1:] == ids[:-1]).sum()),
         len(lines),
     )
 
