@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probatio.llm import mixing, quality
+from probatio.llm import chat, licenses, mixing, quality
 from probatio.llm.common import table
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
 
@@ -18,9 +22,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op9_source_mixing)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_quality_rules, op9_source_mixing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op9_source_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
