@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probatio.llm import chat, licenses, mixing, quality
+from probatio.llm import chat, language, licenses, mixing, quality, toxicity
 from probatio.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_quality_rules, op9_source_mixing, op10_license_scan)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_quality_rules, op7_language_id, op8_toxicity, op9_source_mixing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
