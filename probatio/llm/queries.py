@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probatio.llm import chat, language, licenses, mixing, quality, toxicity
-from probatio.llm.common import table
+from probatio.llm import chat, decontamination, language, licenses, mixing, quality, toxicity, warc
+from probatio.llm.common import checkpointed, table
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_bundles(checkpointed(warc.write_bundles(table(spark, sf_dir, "pages"))))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -35,8 +43,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_quality_rules, op7_language_id, op8_toxicity, op9_source_mixing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_quality_rules, op4_warc_bundles, op7_language_id, op8_toxicity, op9_source_mixing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op9_source_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
+    return {"op2_chat_formatting": chat.SQL, "op4_warc_bundles": warc.SQL, "op9_source_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
