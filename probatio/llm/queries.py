@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probatio.llm import chat, decontamination, language, licenses, mixing, ppm, quality, toxicity, warc
+from probatio.llm import chat, decontamination, language, licenses, mixing, near_duplicates, ppm, quality, toxicity, warc
 from probatio.llm.common import checkpointed, table
 
 
@@ -26,6 +26,10 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(checkpointed(warc.write_bundles(table(spark, sf_dir, "pages"))))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_quality_rules, op4_warc_bundles, op6_ppm_scoring, op7_language_id, op8_toxicity, op9_source_mixing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_quality_rules, op4_warc_bundles, op5_jaccard_join, op6_ppm_scoring, op7_language_id, op8_toxicity, op9_source_mixing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
