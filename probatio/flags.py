@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probatio.functions.text import let
+
 FLAG = "struct<severity:string,code:string,message:string,details:map<string,string>>"
 FLAGS = f"array<{FLAG}>"
 
@@ -41,7 +43,18 @@ def every(*found: Column) -> Column:
 
 def explode_flags(df: DataFrame, module: str, flags: str = "flags", key: str = "doc_id") -> DataFrame:
     """key, module, seq, severity, code, message, details: one row for each flag."""
-    return df.select(key, F.lit(module).alias("module"), F.posexplode(flags).alias("seq", "f")).select(key, "module", "seq", "f.*")
+    return unnest(df.withColumn("module", F.lit(module)), flags, "f", key, "module", place="seq").select(key, "module", "seq", "f.*")
+
+
+def unnest(df: DataFrame, items, name: str, *keep: str, place: str | None = None) -> DataFrame:
+    """The columns to keep, the place and the element: one row for each element that is not null.
+
+    An inner explode makes the optimizer copy the array's whole expression into filters below it; with nested
+    expressions those copies multiply beyond any driver. An outer one, filtered above, stays as it is written.
+    """
+    if place:
+        return df.select(*keep, F.posexplode_outer(items).alias(place, name)).where(F.col(name).isNotNull())
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
 def first_where(items: Column, condition) -> Column:
@@ -51,7 +64,11 @@ def first_where(items: Column, condition) -> Column:
 
 def keep_first(items: Column, key) -> Column:
     """Elements whose key did not occur before, in order."""
-    return F.filter(items, lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda y: key(y).eqNullSafe(key(x))))
+    def firsts(keyed):
+        fresh = F.filter(keyed, lambda x, i: F.array_position(keyed["k"], x["k"]) == i + 1)
+        return F.transform(fresh, lambda x: x["x"])
+
+    return let(F.transform(items, lambda x: F.struct(F.coalesce(F.to_json(F.struct(key(x).alias("k"))), F.lit("")).alias("k"), x.alias("x"))), firsts)
 
 
 def any_of(text: Column, words) -> Column:

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 UNICODE, CASELESS = "(?U)", "(?iuU)"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<match, start>>: non-overlapping matches with their offsets in code points.
 
     The text between matches (a split) and the matches themselves alternate, so offsets are running sums of lengths.
     """
-    matches, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    parts = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int>>").alias("found"))
 
     def step(acc, pair):
@@ -22,9 +27,11 @@ def find_all(text: Column, pattern: str) -> Column:
         found = F.struct(pair["match"].alias("match"), at.alias("start"))
         return F.struct((at + F.length(pair["match"])).alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
 
-    pairs = F.zip_with(matches, F.slice(parts, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("match"), p.alias("part")))
-    located = F.aggregate(pairs, start, step, lambda acc: acc["found"])
-    return F.when(F.size(matches) > 0, located).otherwise(F.array().cast("array<struct<match:string,start:int>>"))
+    def located(matches):
+        pairs = F.zip_with(matches, F.slice(parts, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("match"), p.alias("part")))
+        return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<struct<match:string,start:int>>"))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
 
 
 def window_of(text: Column, start: Column, length: Column, before: int, after: int) -> Column:

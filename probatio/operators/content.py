@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from probatio import dims
 from probatio.flags import any_of, every, explode_flags, flag, keep_first, none, when
 from probatio.functions import checks
-from probatio.functions.text import CASELESS, UNICODE, find_all, strip, title, window_of
+from probatio.functions.text import CASELESS, UNICODE, find_all, let, strip, title, window_of
 
 _MONTH_NUMBERS = {name: number for number, names in dims.MONTHS.items() for name in names.split()}
 _MONTH_SPELLINGS = sorted([*_MONTH_NUMBERS, *(f"{m}\\." for m in dims.DOTTED_MONTHS)], key=len, reverse=True)
@@ -62,8 +62,7 @@ def numeric_dates(text: Column) -> Column:
     full = _real(F.transform(_matches(text, long_), lambda m: _dated(m, part(m, long_, 3), part(m, long_, 2), part(m, long_, 1), or_zero(part(m, long_, 4)), or_zero(part(m, long_, 5)))))
     brief = _real(F.transform(_matches(text, short), lambda m: _dated(m, F.concat(F.lit("20"), part(m, short, 3)), part(m, short, 2), part(m, short, 1))))
     day = lambda d: d["date"].cast("date")
-    fresh = F.filter(brief, lambda d: ~F.exists(full, lambda e: day(e) == day(d)))
-    return F.concat(full, keep_first(fresh, day))
+    return let(full, lambda known: F.concat(known, keep_first(F.filter(brief, lambda d: ~F.exists(known, lambda e: day(e) == day(d))), day)))
 
 
 def month_year_dates(text: Column) -> Column:
@@ -75,16 +74,17 @@ def month_year_dates(text: Column) -> Column:
 
 def date_type(context: Column) -> Column:
     """The kind of the longest phrase in the context, or null."""
-    low = F.lower(context)
-    return F.coalesce(*(F.when(F.contains(low, F.lit(phrase)), F.lit(kind)) for kind, phrase in _PHRASES))
+    return let(F.lower(context), lambda low: F.coalesce(*(F.when(F.contains(low, F.lit(phrase)), F.lit(kind)) for kind, phrase in _PHRASES)))
 
 
 def date_context(text: Column, source: Column) -> Column:
     """Up to 60 characters before the first occurrence of a date, from its line on, and the date."""
-    at = F.position(F.lower(source), F.lower(text)) - 1
-    start = F.greatest(F.lit(0), at - 60)
-    before = F.regexp_replace(F.substr(text, start + 1, at - start), r"(?s)^.+\n", "")
-    return F.when(at >= 0, F.concat(before, F.substr(text, at + 1, F.length(source)))).otherwise(source)
+    def found(at):
+        start = F.greatest(F.lit(0), at - 60)
+        before = F.regexp_replace(F.substr(text, start + 1, at - start), r"(?s)^.+\n", "")
+        return F.when(at >= 0, F.concat(before, F.substr(text, at + 1, F.length(source)))).otherwise(source)
+
+    return let(F.position(F.lower(source), F.lower(text)) - 1, found)
 
 
 def doc_dates(text: Column) -> Column:
@@ -93,8 +93,8 @@ def doc_dates(text: Column) -> Column:
     distinct = keep_first(found, lambda d: F.struct(d["date"].cast("date"), F.lower(strip(d["source"]))))
 
     def described(d):
-        context = date_context(text, d["source"])
-        return F.struct(d["date"].alias("date"), d["source"].alias("source"), strip(context).alias("context"), date_type(context).alias("date_type"))
+        held = lambda context: F.struct(d["date"].alias("date"), d["source"].alias("source"), strip(context).alias("context"), date_type(context).alias("date_type"))
+        return let(date_context(text, d["source"]), held)
 
     return F.transform(distinct, described)
 
@@ -129,7 +129,10 @@ def impossible_dates(dates: Column, as_of: Column) -> Column:
 
 def date_logic(dates: Column) -> Column:
     """Service and order dates after the first invoice date, due dates before it, by more than a day."""
-    invoiced = invoice_date(dates)
+    return let(invoice_date(dates), lambda invoiced: _anachronisms(dates, invoiced))
+
+
+def _anachronisms(dates: Column, invoiced: Column) -> Column:
     day = F.expr("INTERVAL 1 DAY")
     rules = (
         ("service", "SERVICE", lambda d: d["date"] > invoiced + day, "Service date (", ") is after invoice date ("),
@@ -220,8 +223,8 @@ def reference_consistency(refs: Column) -> Column:
 def _identifiers(text: Column, patterns, clean, fits, valid, margin: int = 20) -> Column:
     def describing(p):
         def described(m):
-            value = clean(F.regexp_extract(m["match"], p, 1))
-            return F.struct(value.alias("value"), valid(value).alias("is_valid"), strip(window_of(text, m["start"], F.length(m["match"]), margin, margin)).alias("context"))
+            context = strip(window_of(text, m["start"], F.length(m["match"]), margin, margin))
+            return let(clean(F.regexp_extract(m["match"], p, 1)), lambda v: F.struct(v.alias("value"), valid(v).alias("is_valid"), context.alias("context")))
 
         return described
 

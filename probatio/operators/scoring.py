@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import dims
+from probatio.flags import unnest
 
 
 def _map(values: dict) -> Column:
@@ -53,10 +54,16 @@ def count_of(severity: str) -> Column:
 
 
 def weighted_score() -> Column:
-    """Mean of module scores by weight and confidence, rounded half to even; 100 where nothing weighs."""
-    w = weight(F.col("module")) * F.col("confidence")
-    mean = F.sum(F.col("score") * w) / F.nullif(F.sum(w), F.lit(0.0))
-    return F.coalesce(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean))).cast("int"), F.lit(100))
+    """Mean of module scores by weight and confidence, rounded half to even; 100 where nothing weighs.
+
+    A document has a handful of modules; they are added in module order, so that a mean close to a half rounds the
+    same way on every run.
+    """
+    item = F.struct(module_place(F.col("module")).alias("at"), F.col("score").cast("double").alias("s"), (weight(F.col("module")) * F.col("confidence")).cast("double").alias("w"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+    step = lambda acc, x: F.struct((acc["s"] + x["s"] * x["w"]).alias("s"), (acc["w"] + x["w"]).alias("w"))
+    mean = F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda acc: F.when(acc["w"] != 0, acc["s"] / acc["w"]))
+    return F.coalesce(F.bround(F.when(mean.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean)))).cast("int"), F.lit(100))
 
 
 def severity_counts(modules: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def group_scores(modules: DataFrame) -> DataFrame:
 def all_flags(modules: DataFrame) -> DataFrame:
     """doc_id, place, module, severity, code, message: all flags of a document, most severe first, else as reported."""
     merged = merged_flags(modules)
-    return merged.select("doc_id", F.posexplode("flags").alias("place", "f")).select("doc_id", "place", "f.module", "f.severity", "f.code", "f.message")
+    return unnest(merged, "flags", "f", "doc_id", place="place").select("doc_id", "place", "f.module", "f.severity", "f.code", "f.message")
 
 
 def merged_flags(modules: DataFrame) -> DataFrame:
@@ -103,5 +110,5 @@ def merged_flags(modules: DataFrame) -> DataFrame:
 
 def volume(modules: DataFrame) -> DataFrame:
     """module, severity, n_flags with subtotals (null: all)."""
-    rows = modules.select("module", F.explode("flags").alias("f")).select("module", "f.severity")
+    rows = unnest(modules, "flags", "f", "module").select("module", "f.severity")
     return rows.rollup("module", "severity").agg(F.count(F.lit(1)).alias("n_flags"))

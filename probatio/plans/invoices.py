@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatio import dims
-from probatio.flags import explode_flags
+from probatio.flags import explode_flags, unnest
 from probatio.operators import content, metadata, scoring, summary, visual
 from probatio.sources.derived import AS_OF, Dialect, facts, facts_sql, invoice_sql, invoices
 
@@ -16,7 +16,7 @@ d AS (SELECT doc_id, unnest([inv_date, service_date, due_date, order_date]) AS d
 n AS (SELECT *, (k % 10000) // 100 AS dd FROM inv),
 content AS (
   SELECT doc_id, 'critical' AS severity, 'CONTENT_FAR_FUTURE_DATE' AS code FROM d WHERE date > DATE '{AS_OF}' + 365
-  UNION ALL SELECT doc_id, 'medium', 'CONTENT_VERY_OLD_DATE' FROM inv WHERE old
+  UNION ALL SELECT doc_id, 'medium', 'CONTENT_VERY_OLD_DATE' FROM (SELECT doc_id FROM inv WHERE old UNION ALL SELECT doc_id FROM d WHERE date < DATE '2000-01-01')
   UNION ALL SELECT doc_id, 'high', 'CONTENT_ANACHRONISM_SERVICE' FROM inv WHERE k % 5 = 0
   UNION ALL SELECT doc_id, 'high', 'CONTENT_ANACHRONISM_DUE' FROM inv WHERE k % 6 = 0
   UNION ALL SELECT doc_id, 'high', 'CONTENT_ANACHRONISM_ORDER' FROM inv WHERE k % 8 = 0
@@ -129,19 +129,19 @@ y AS (SELECT doc_id, ord, CASE ord WHEN 1 THEN inv_date WHEN 2 THEN service_date
 def date_types(spark, sf_dir):
     """All dates in reading order (an invoice date in words is read first, it is the first line anyway)."""
     docs = content.with_entities(invoices(spark, sf_dir).select("doc_id", "text"))
-    rows = docs.select("doc_id", F.posexplode("dates").alias("i", "d"))
+    rows = unnest(docs, "dates", "d", "doc_id", place="i")
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("ord"), F.date_format("d.date", "yyyy-MM-dd").alias("date"), "d.date_type")
 
 
 @_query(f"{_INV} SELECT doc_id, strftime(inv_date, '%Y-%m-%d') AS date FROM inv WHERE k % 3 = 1")
 def french_dates(spark, sf_dir):
-    rows = invoices(spark, sf_dir).select("doc_id", F.explode(content.french_dates(F.col("text"))).alias("d"))
+    rows = unnest(invoices(spark, sf_dir), content.french_dates(F.col("text")), "d", "doc_id")
     return rows.select("doc_id", F.date_format("d.date", "yyyy-MM-dd").alias("date"))
 
 
 @_query(f"""{_INV}, {_DATES} SELECT doc_id, strftime(date, '%Y-%m-%d') AS date FROM y JOIN inv USING (doc_id) WHERE NOT (ord = 1 AND k % 3 = 1)""")
 def numeric_dates(spark, sf_dir):
-    rows = invoices(spark, sf_dir).select("doc_id", F.explode(content.numeric_dates(F.col("text"))).alias("d"))
+    rows = unnest(invoices(spark, sf_dir), content.numeric_dates(F.col("text")), "d", "doc_id")
     return rows.select("doc_id", F.date_format("d.date", "yyyy-MM-dd").alias("date"))
 
 
@@ -154,7 +154,7 @@ def month_year_dates(spark, sf_dir):
     year = F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0")
     april = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("  Avr. "), year)).otherwise(F.lit("  Abc 12"))
     text = F.concat(F.lit("Jan "), year, F.lit("  Fév "), year, april, F.lit("  AOÛ "), year, F.lit("  Déc. "), year, F.lit(" kWh 2000"))
-    rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(content.month_year_dates(text)).alias("d"))
+    rows = unnest(orders.withColumn("doc_id", F.col("o_orderkey")), content.month_year_dates(text), "d", "doc_id")
     return rows.select("doc_id", F.date_format("d.date", "yyyy-MM-dd").alias("date"))
 
 
@@ -164,13 +164,13 @@ def month_year_dates(spark, sf_dir):
 )
 def date_context(spark, sf_dir):
     docs = content.with_entities(invoices(spark, sf_dir).select("doc_id", "text"))
-    rows = docs.select("doc_id", F.posexplode("dates").alias("i", "d")).where("i > 0")
+    rows = unnest(docs, "dates", "d", "doc_id", place="i").where("i > 0")
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("ord"), "d.context")
 
 
 @_query(f"{_INV} SELECT doc_id, 1::BIGINT AS ord, ref FROM inv UNION ALL SELECT doc_id, 2, ref2 FROM inv WHERE k % 21 = 0")
 def references(spark, sf_dir):
-    rows = invoices(spark, sf_dir).select("doc_id", F.posexplode(content.references(F.col("text"))).alias("i", "r"))
+    rows = unnest(invoices(spark, sf_dir), content.references(F.col("text")), "r", "doc_id", place="i")
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("ord"), "r.ref")
 
 
@@ -187,7 +187,7 @@ def ref_date(spark, sf_dir):
 
 def _ids(extract):
     def run(spark, sf_dir):
-        rows = invoices(spark, sf_dir).select("doc_id", F.explode(extract(F.col("text"))).alias("r"))
+        rows = unnest(invoices(spark, sf_dir), extract(F.col("text")), "r", "doc_id")
         return rows.select("doc_id", "r.value", "r.is_valid")
 
     return run
@@ -203,7 +203,7 @@ for _name, _extract, _sql in (
 
 @_query(f"{_INV} SELECT doc_id, 'RCS Saint-Denis 552081317' AS value FROM inv WHERE registered")
 def rcs(spark, sf_dir):
-    rows = invoices(spark, sf_dir).where("registered").select("doc_id", F.explode(content.rcs(F.regexp_extract("text", r"(RCS [^\n]*)", 1))).alias("r"))
+    rows = unnest(invoices(spark, sf_dir).where("registered"), content.rcs(F.regexp_extract("text", r"(RCS [^\n]*)", 1)), "r", "doc_id")
     return rows.select("doc_id", "r.value").where(F.col("value").rlike(r"\d$"))
 
 
@@ -214,7 +214,7 @@ def capital(spark, sf_dir):
     """Share capital; both patterns read the plain form, so each amount is found twice."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     text = F.concat(F.lit("SARL au Capital : "), (F.col("c_custkey") * 1000).cast("string"), F.lit(" € - NAF 6201Z"))
-    rows = customers.select(F.col("c_custkey").alias("doc_id"), F.explode(content.share_capital(text)).alias("r"))
+    rows = unnest(customers.withColumn("doc_id", F.col("c_custkey")), content.share_capital(text), "r", "doc_id")
     return rows.select("doc_id", "r.value")
 
 
@@ -227,7 +227,7 @@ def potential_siren(spark, sf_dir):
     spaced = lambda x: F.concat_ws(" ", F.substring(x, 1, 3), F.substring(x, 4, 3), F.substring(x, 7, 3))
     wrong = F.concat(F.substring("siren", 1, 8), ((F.substring("siren", 9, 1).cast("int") + 1) % 10).cast("string"))
     text = F.concat(F.lit("Tel "), spaced(F.when(F.col("k") % 4 == 0, F.col("siren")).otherwise(wrong)), F.lit(" fin"))
-    return rows.select("doc_id", F.explode(content.potential_sirens(text)).alias("r")).select("doc_id", "r.value")
+    return unnest(rows, content.potential_sirens(text), "r", "doc_id").select("doc_id", "r.value")
 
 
 @_query(
@@ -255,7 +255,7 @@ def _written_amounts(spark, sf_dir) -> DataFrame:
 def amounts(spark, sf_dir):
     """Amounts in plain notation: one pattern finds each."""
     rows = _written_amounts(spark, sf_dir).where("doc_id % 4 = 3")
-    found = rows.select("doc_id", F.explode(content.amounts(F.concat(F.lit("Total: "), F.col("text"), F.lit(" TTC")))).alias("a"))
+    found = unnest(rows, content.amounts(F.concat(F.lit("Total: "), F.col("text"), F.lit(" TTC"))), "a", "doc_id")
     return found.select("doc_id", "a.amount")
 
 
@@ -266,13 +266,13 @@ def invoice_watermarks(spark, sf_dir):
 
 @_query(f"{_FACTS}, {_META_RULES} SELECT doc_id, severity, code, tool FROM meta")
 def producer_cascade(spark, sf_dir):
-    rows = facts(spark, sf_dir).select("doc_id", F.explode(metadata.producer_rules(F.col("producer"), F.col("creator"))).alias("f"))
+    rows = unnest(facts(spark, sf_dir), metadata.producer_rules(F.col("producer"), F.col("creator")), "f", "doc_id")
     return rows.select("doc_id", "f.severity", "f.code", F.try_element_at("f.details", F.lit("detected_tool")).alias("tool"))
 
 
 @_query(f"{_FACTS}, {_MISSING_RULES} SELECT doc_id, severity, code FROM missing")
 def missing_metadata(spark, sf_dir):
-    rows = metadata_docs(spark, sf_dir).select("doc_id", F.explode(metadata.missing_rules(F.col("raw_metadata"))).alias("f"))
+    rows = unnest(metadata_docs(spark, sf_dir), metadata.missing_rules(F.col("raw_metadata")), "f", "doc_id")
     return rows.select("doc_id", "f.severity", "f.code")
 
 
@@ -289,7 +289,7 @@ dated AS (
 @_query(f"{_FACTS}, {_META_DATES} SELECT * FROM dated")
 def metadata_dates(spark, sf_dir):
     now = F.lit("2001-01-01").cast("timestamp_ntz")
-    rows = facts(spark, sf_dir).select("doc_id", F.explode(metadata.date_rules(F.col("created"), F.col("modified"), now)).alias("f"))
+    rows = unnest(facts(spark, sf_dir), metadata.date_rules(F.col("created"), F.col("modified"), now), "f", "doc_id")
     return rows.select("doc_id", "f.severity", "f.code", "f.message")
 
 
@@ -313,6 +313,8 @@ def pdf_date_parse(spark, sf_dir):
 
 
 _POINTS = "CASE severity WHEN 'low' THEN 5 WHEN 'medium' THEN 15 WHEN 'high' THEN 30 WHEN 'critical' THEN 50 ELSE 0 END"
+_AT = "CASE module WHEN 'metadata' THEN 0 WHEN 'content' THEN 1 ELSE 2 END"
+_MEAN = f"sum(score * (weight * confidence) ORDER BY {_AT}) / sum(weight * confidence ORDER BY {_AT})"
 _ALL = f"""{_INV}, {_CONTENT_RULES}, {_VISUAL_RULES}, {facts_sql(Dialect(False), 'orders')}, {_META_RULES}, {_MISSING_RULES},
 flags AS (SELECT doc_id, 'content' AS module, severity, code FROM content UNION ALL SELECT doc_id, 'visual', severity, code FROM visual
           UNION ALL SELECT doc_id, 'metadata', severity, code FROM meta UNION ALL SELECT doc_id, 'metadata', severity, code FROM missing),
@@ -322,7 +324,7 @@ mods AS (SELECT doc_id, module, CASE module WHEN 'content' THEN 0.9 WHEN 'visual
 scores AS (SELECT doc_id, module, confidence, weight, greatest(0, 100 - coalesce(sum({_POINTS}), 0))::INT AS score FROM mods LEFT JOIN flags USING (doc_id, module) GROUP BY ALL),
 counts AS (SELECT doc_id, count(code) AS n_flags, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high,
              count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low FROM facts LEFT JOIN flags USING (doc_id) GROUP BY 1),
-base AS (SELECT doc_id, round_even(sum(score * (weight * confidence)) / sum(weight * confidence), 0)::INT AS base_score FROM scores GROUP BY 1),
+base AS (SELECT doc_id, round_even({_MEAN}, 0)::INT AS base_score FROM scores GROUP BY 1),
 capped AS (SELECT *, greatest(5, least(base_score, 40) - 5 * n_high - 2 * n_medium)::INT AS cap,
              CASE WHEN base_score >= 80 THEN 'LOW' WHEN base_score >= 50 THEN 'MEDIUM' WHEN base_score >= 20 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM base JOIN counts USING (doc_id)),
 final AS (SELECT doc_id, base_score, n_flags, n_critical, n_high, n_medium, n_low,
@@ -360,7 +362,7 @@ def module_confidence(spark, sf_dir):
 
 
 @_query(
-    f"""{_ALL} SELECT doc_id, CASE module WHEN 'content' THEN 'content' ELSE 'visuals' END AS module_group, round_even(sum(score * (weight * confidence)) / sum(weight * confidence), 0)::INT AS score
+    f"""{_ALL} SELECT doc_id, CASE module WHEN 'content' THEN 'content' ELSE 'visuals' END AS module_group, round_even({_MEAN}, 0)::INT AS score
     FROM scores GROUP BY 1, 2"""
 )
 def group_scores(spark, sf_dir):
@@ -368,10 +370,10 @@ def group_scores(spark, sf_dir):
 
 
 _RANKED = """
-r AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank, CASE module WHEN 'metadata' THEN 0 WHEN 'content' THEN 1 ELSE 2 END AS at FROM flags)"""
+r AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank, CASE module WHEN 'metadata' THEN 0 WHEN 'content' THEN 1 ELSE 2 END AS spot FROM flags)"""
 
 
-@_query(f"{_ALL}, {_RANKED} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rank, at) - 1)::BIGINT AS place, module, severity FROM r")
+@_query(f"{_ALL}, {_RANKED} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rank, spot) - 1)::BIGINT AS place, module, severity FROM r")
 def sorted_flags(spark, sf_dir):
     return scoring.all_flags(modules(spark, sf_dir)).select("doc_id", F.col("place").cast("long").alias("place"), "module", "severity")
 
@@ -384,7 +386,7 @@ def flag_volume(spark, sf_dir):
 _THEMES = "[" + ", ".join(f"{{'code': '{c}', 'theme': '{t}'}}" for c, t in dims.THEME_OF.items()) + "]"
 _LEAD = f"""{_ALL}, {_RANKED}, names AS (SELECT unnest({_THEMES}, recursive := true)),
 themed AS (SELECT r.*, coalesce(theme, 'other') AS theme, {_POINTS} AS points FROM r LEFT JOIN names USING (code)),
-lead_ AS (SELECT doc_id, theme, sum(points) AS p, min(rank * 10 + at) AS first_ FROM themed WHERE theme IN ('origin', 'tampering', 'dates', 'identity', 'security') GROUP BY 1, 2),
+lead_ AS (SELECT doc_id, theme, sum(points) AS p, min(rank * 10 + spot) AS first_ FROM themed WHERE theme IN ('origin', 'tampering', 'dates', 'identity', 'security') GROUP BY 1, 2),
 top AS (SELECT doc_id, max(p) AS p, count(*) FILTER (p = best) AS ties FROM (SELECT *, max(p) OVER (PARTITION BY doc_id) AS best FROM lead_) GROUP BY 1)"""
 
 
