@@ -151,6 +151,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     counts = np.concatenate([c for _, c in parts]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
+    if not len(keys):
+        return keys, counts
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[heads], np.add.reduceat(counts, heads)
 
