@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import fold
+from probatio.llm.common import checkpointed, fold
 
 # Language codes by family. Codes that are not listed form a family of their own.
 FAMILIES = {
@@ -81,13 +81,18 @@ def features(text: str) -> np.ndarray:
     return (counts / max(1, counts.sum())).astype(np.float32)
 
 
-def _machine(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by accelerated gradient descent; classes weigh the same in total."""
+def _machine(x: np.ndarray, positive: np.ndarray, rows: np.ndarray | None = None, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear SVM by accelerated gradient descent over the chosen rows; classes weigh the same in total.
+
+    Rows that are not chosen weigh nothing, so that no part of the matrix is copied.
+    """
+    rows = np.ones(len(x), bool) if rows is None else rows
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
-    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
+    of = lambda chosen: 0.5 / max(1, chosen.sum())
+    weight = (np.where(positive, of(positive & rows), of(~positive & rows)) * rows).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     v, c = w.copy(), b
-    rate = 1.0 / (2 * float((weight * ((x * x).sum(1) + 1)).sum()) + penalty)
+    rate = 1.0 / (2 * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + penalty)
     for step in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v + c)) * weight * y
         w2, b2 = v + rate * (2 * (slack @ x) - penalty * v), c + rate * 2 * float(slack.sum())
@@ -106,18 +111,20 @@ class Model:
         for lang in langs:
             self.groups.setdefault(family(lang), []).append(lang)
         self.families = sorted(self.groups)
-        scale = (1.0 / (x.std(0) + 1e-5)).astype(np.float32) / np.sqrt(SLOTS) if len(x) else np.ones(SLOTS, np.float32)
-        z = x * scale
+        scale = np.ones(SLOTS, np.float32)
+        if len(x):  # the matrix is scaled where it lies, column by column
+            scale = (1.0 / (np.array([column.std() for column in x.T]) + 1e-5)).astype(np.float32) / np.float32(np.sqrt(SLOTS))
+            x *= scale
         of = np.array([family(lang) for lang in y], object)
         found = []
         if len(self.families) > 1:  # one against the rest; with two families the second mirrors the first
-            found = [_machine(z, of == name) for name in (self.families if len(self.families) > 2 else self.families[:1])]
+            found = [_machine(x, of == name) for name in (self.families if len(self.families) > 2 else self.families[:1])]
         self.n_family = len(found)
         self.pairs = []
         for name in self.families:
             for a, b in itertools.combinations(self.groups[name], 2):
                 rows = (y == a) | (y == b)
-                found.append(_machine(z[rows], y[rows] == a))
+                found.append(_machine(x, y == a, rows))
                 self.pairs.append((name, a, b))
         self.weights = np.stack([w * scale for w, _ in found], 1) if found else np.zeros((SLOTS, 0), np.float32)
         self.bias = np.array([b for _, b in found])
@@ -163,10 +170,14 @@ def fit(docs: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> Mo
         return Model([], np.zeros((0, SLOTS), np.float32), np.zeros(0, object))
     share = F.element_at(F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, rows_per_language / n)))), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
-    sample = train.where(drawn).select("lang", F.pandas_udf(lambda t: t.map(lambda s: features(s).tobytes()), "binary")(F.col("text")).alias("x")).toPandas()
-    langs = sorted(set(sample["lang"]))
-    x = np.frombuffer(b"".join(map(bytes, sample["x"])), np.float32).reshape(-1, SLOTS) if len(sample) else np.zeros((0, SLOTS), np.float32)
-    return Model(langs, x, sample["lang"].to_numpy(object))
+    sample = train.where(drawn).select("lang", F.pandas_udf(lambda t: t.map(lambda s: features(s).tobytes()), "binary")(F.col("text")).alias("x"))
+    # Written once, then read a few rows at a time into the one matrix that the driver holds.
+    sample = checkpointed(sample)
+    x, y = np.zeros((sample.count(), SLOTS), np.float32), []
+    for row in sample.coalesce(8).toLocalIterator():
+        x[len(y)] = np.frombuffer(row["x"], np.float32)
+        y.append(row["lang"])
+    return Model(sorted(set(y)), x, np.array(y, object))
 
 
 def with_language(docs: DataFrame, model: Model, column: str = "__language") -> DataFrame:
