@@ -90,7 +90,7 @@ for _name, _codes in _FAMILIES.items():
 
 @_query(
     """WITH f AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 AS edits, 9 + CASE WHEN o_orderkey % 2 = 0 THEN 18 ELSE 0 END + CASE WHEN o_orderkey % 9 = 0 THEN 14 ELSE 0 END
-        + CASE WHEN o_orderkey % 4 > 0 THEN 24 + [18, 7, 10][(o_orderkey % 3 + 1)::INT] ELSE 0 END + 20 * (o_orderkey % 18) AS head FROM orders),
+        + CASE WHEN o_orderkey % 4 > 0 THEN 23 + [18, 7, 10][(o_orderkey % 3 + 1)::INT] ELSE 0 END + 20 * (o_orderkey % 18) AS head FROM orders),
     v AS (SELECT *, unnest(range(edits + 1)) AS version FROM f)
     SELECT doc_id, version::BIGINT AS version, (head + 7 * (version + 1) - CASE WHEN version = edits THEN 2 ELSE 0 END)::BIGINT AS length FROM v"""
 )
