@@ -143,13 +143,27 @@ def xmp_mismatch(body: Column, producer: Column, creator: Column) -> Column:
     return let(xmp_toolkit(body), told)
 
 
-def object_kind(text: Column) -> Column:
-    """What an object of a PDF is, by the first of the marks it holds."""
-    kinds = (("/Type /Font", "font"), ("/Subtype /Image", "image"), ("/Type /Page", "page_definition"), ("/Type /Catalog", "catalog"), ("/Type /Metadata", "metadata"))
-    chosen = F.when(F.contains(text, F.lit("/Contents")) | F.contains(text, F.lit("stream")), "content_stream")
-    for mark, kind in kinds:
-        chosen = chosen.when(F.contains(text, F.lit(mark)), kind)
-    return chosen.otherwise("unknown")
+def object_kind(text: Column, page: Column) -> Column:
+    """What a changed object is, by the first of the marks in its text; ``page`` is where its stream is shown, or null."""
+    has = lambda mark: F.contains(text, F.lit(mark))
+    return (
+        F.when(page.isNotNull() & (has("/Length") | (text == "")), "content_stream")
+        .when(has("/Font"), "font")
+        .when(has("/Image") | has("/XObject"), "image")
+        .when(has("/Type /Page"), "page_definition")
+        .when(has("/Catalog"), "catalog")
+        .when(has("/Info"), "metadata")
+        .otherwise("unknown")
+    )
+
+
+def tool(body: Column, producer: Column, creator: Column) -> Column:
+    """What made the file, and the editor that its toolkit gives away where the producer does not name it."""
+    filled = lambda c: F.when(c != "", c)
+    base, low = F.coalesce(filled(producer), filled(creator), F.lit("Unknown")), F.lower(xmp_toolkit(body))
+    editor = F.coalesce(*(F.when(F.contains(low, F.lit(mark)), F.lit(name)) for mark, name in dims.TOOLKIT_EDITORS))
+    named = F.contains(F.lower(F.coalesce(producer, F.lit(""))), F.substring_index(F.lower(editor), " ", 1))
+    return F.when(editor.isNotNull() & ~named, F.concat(base, F.lit(" → modified with "), editor)).otherwise(base)
 
 
 def line_diff(versions: DataFrame) -> DataFrame:
