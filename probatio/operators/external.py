@@ -59,7 +59,7 @@ def lookups(asked: DataFrame, companies: DataFrame, vat_numbers: DataFrame | Non
     return rows.select("doc_id", "ord", "kind", "number", "company", info["name"].alias("name"), info["status"].alias("status"), failed.alias("error"), "is_vat_valid", F.coalesce(found, F.lit(False)).alias("found"))
 
 
-def rules() -> Column:
+def _rules() -> Column:
     """The flags of one lookup."""
     kind, number, error = F.col("kind"), F.col("number"), F.col("error")
     missing = F.col("error").isNull() & ~F.col("found") & (kind != "vat")
@@ -91,7 +91,7 @@ def analyse(docs: DataFrame, companies: DataFrame, vat_numbers: DataFrame | None
     """
     looked = lookups(requests(docs, vat_numbers is not None, name), companies, vat_numbers)
     item = lambda f, i: F.struct(F.col("ord").alias("ord"), i.alias("i"), f["severity"].alias("severity"), f["code"].alias("code"), f["message"].alias("message"), F.to_json(f["details"]).alias("details"))
-    rows = looked.select("doc_id", "found", F.transform(rules(), item).alias("flags"))
+    rows = looked.select("doc_id", "found", F.transform(_rules(), item).alias("flags"))
     by_doc = rows.groupBy(F.col("doc_id").alias("d")).agg(F.count(F.lit(1)).alias("asked"), F.count_if("found").alias("answered"), F.array_sort(F.flatten(F.collect_list("flags"))).alias("told"))
     back = F.transform("told", lambda f: F.struct(f["severity"].alias("severity"), f["code"].alias("code"), f["message"].alias("message"), F.from_json(f["details"], "map<string,string>").alias("details")))
     confidence = F.when(F.col("asked").isNull(), 0.1).otherwise(0.5 + F.col("answered") * 0.5 / F.col("asked"))
