@@ -21,13 +21,57 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def checkpoint_folder(spark) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset (tests, a laptop) a local temporary folder."""
+    """spark.checkpoint.dir of the session; where that is unset, a temporary folder if everything runs in one JVM.
+
+    On a cluster a folder of one machine is of no use to the others, so there an unset folder is an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` with as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_keys(many: DataFrame, key: str) -> tuple[list, bool]:
+    """The keys that hold more than 1/256 of the rows, fewer than 256 whatever the data, and whether there are others."""
+    counts = many.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    n = many.count()
+    rows = counts.where(F.col("k").isNotNull() & (F.col("n") * 256 > n)).collect()
+    return [row["k"] for row in rows], sum(row["n"] for row in rows) < n
+
+
+def meet(many: DataFrame, one: DataFrame, key: str, other: str, hot: tuple[list, bool] | None = None) -> DataFrame:
+    """``many`` joined on ``key`` with the one row of ``one`` that has it as ``other``, safe from hot keys.
+
+    The rows of ``one`` for the hot keys are broadcast, so the many rows that hold them stay where they are; all
+    other rows are shuffled. ``hot`` is what hot_keys gave, where the caller knows it already.
+    """
+    keys, others = hot or hot_keys(many, key)
+    if not keys:
+        return many.join(one, F.col(key) == F.col(other))
+    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    near = many.where(is_hot).join(F.broadcast(one.where(F.col(other).isin(keys))), F.col(key) == F.col(other))
+    if not others:
+        return near
+    return near.unionByName(many.where(~is_hot).join(one.where(~F.col(other).isin(keys)), F.col(key) == F.col(other)))
+
+
+def remove_folder(spark, folder: str) -> None:
+    """Delete a folder that this session wrote, wherever Spark's file system keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_folder(df.sparkSession)

@@ -1,9 +1,8 @@
 """Mixing sources to target weights by capped water-filling.
 
 Every source has a weight and wants that share of all words, but may not exceed ``max_epochs`` times its own
-words. Sources that would are clamped there and what they leave is shared again by weight, until none is above.
-The fixed point is target = min(cap, level * weight); the level follows from prefix sums over the sources in the
-order of cap / weight, so one window over the (few) sources replaces the loop.
+words. Sources that would are clamped there and what they leave is shared again by weight, until none is above: each
+turn is one aggregation over the sources that gives two numbers, so sources may be as many as web domains.
 
 Within a source every document is taken ``floor(target / size)`` whole times. The rest is dealt in the order of a
 seeded hash: documents take one more repetition until the remainder is used up, the last of them only a part of
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probatio.llm.common import WORD, checkpointed
+from probatio.llm.common import WORD, checkpointed, hot_keys, meet
 
 #: Weights dealt to the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -30,41 +29,55 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_rank(doc_id: Column, seed: str) -> Column:
-    """60 bits of md5(seed:doc_id); a null id counts as the empty text."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def hash_rank(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 bits of md5(seed:doc_id); a row without id goes by its text."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """A key that is never null and sorts like the source by code point, null last."""
+    return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
+
+
+def ranked(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``nth``, their place from 0 in the order of ``key``, by ranges: no task sees all of them."""
+    ranges = checkpointed(rows.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id()))
+    sizes = sorted((row["part"], row["n"]) for row in ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    before = rows.sparkSession.createDataFrame(starts, "p int, start long")
+    place = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    return ranges.join(F.broadcast(before), F.col("part") == F.col("p")).withColumn("nth", place).drop("part", "p", "start")
+
+
 def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size) to (source, source_size, target).
+    """(source, source_size) to (src, source_size, target), src being the key of the source.
 
-    Sources are ordered by code point, null last; equal ratios are ordered the same way. An empty table gives an
-    empty table, a source of size 0 the target 0.
+    Weights are dealt by code point, null last. An empty table gives an empty table, a source of size 0 the target 0.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    big = "decimal(20,0)"
     dealt = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
-    ranked = (
-        sizes.withColumn("nth", F.row_number().over(by_name) - 1)
-        .withColumn("w", dealt.cast("decimal(20,0)"))
-        .withColumn("cap", (F.col("source_size") * max_epochs).cast("decimal(20,0)"))
-    )
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy((F.col("cap").cast("double") / F.col("w").cast("double")), "nth")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("decimal(20,0)")
-    left = (
-        ranked.withColumn("all_size", F.sum(F.col("source_size").cast("decimal(20,0)")).over(every))
-        .withColumn("all_w", F.sum("w").over(every))
-        .withColumn("rest", F.col("all_size") - F.coalesce(F.sum("cap").over(before), zero))
-        .withColumn("rest_w", F.col("all_w") - F.coalesce(F.sum("w").over(before), zero))
-        .withColumn("capped", F.col("cap") * F.col("rest_w") <= F.col("w") * F.col("rest"))
+    caps = checkpointed(
+        ranked(sizes.select(source_key(F.col("source")).alias("src"), "source_size"), "src").select(
+            "src", "source_size", dealt.cast(big).alias("w"), (F.col("source_size") * max_epochs).cast(big).alias("cap")
+        )
     )
-    # The first source that is not capped holds what the level is made of.
-    first = F.min_by(F.struct("rest", "rest_w"), F.when(~F.col("capped"), F.struct(F.col("cap").cast("double") / F.col("w").cast("double"), F.col("nth")))).over(every)
-    level = left.withColumn("first", first)
-    share = (F.col("w") * F.col("first.rest")).cast("double") / F.col("first.rest_w").cast("double")
-    return level.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
+    # Clamp, share what is left, and look again until no further source is clamped.
+    all_size, all_w = caps.agg(F.sum(F.col("source_size").cast(big)), F.sum("w")).first()
+    rest, rest_w = int(all_size or 0), int(all_w or 0)
+    while True:
+        capped = F.col("cap") * F.lit(str(rest_w)).cast(big) <= F.col("w") * F.lit(str(rest)).cast(big)
+        taken, taken_w = caps.where(capped).agg(F.sum("cap"), F.sum("w")).first()
+        after = int(all_size or 0) - int(taken or 0), int(all_w or 0) - int(taken_w or 0)
+        if after == (rest, rest_w):
+            break
+        rest, rest_w = after
+    share = (F.col("w") * F.lit(str(rest)).cast(big)).cast("double") / F.lit(float(max(1, rest_w)))
+    return caps.select("src", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -74,20 +87,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     Rows that repeat are separate documents: ties of the hash are ordered by doc_id (null first), then size; rows
     equal in both are interchangeable, so the result is the same on every run. An empty table gives an empty one.
     """
-    rows = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_rank(F.col("doc_id"), seed).alias("h")))
+    rows = checkpointed(docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), hash_rank(F.col("doc_id"), F.col("text"), seed).alias("h")))
+    hot = hot_keys(rows, "key")
     targets = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rest = F.round("target").cast("long") - F.col("whole") * F.col("source_size")
+    # A target just under a whole multiple rounds up to it: that is one more whole repetition.
+    more = ((F.col("rest") >= F.col("source_size")) & (F.col("source_size") > 0)).cast("long")
     plan = checkpointed(
         targets.withColumn("whole", whole)
-        .withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
-        .withColumn("cut", F.lit(0).cast("long"))
-        .withColumnRenamed("source", "src")
+        .withColumn("rest", rest)
+        .select("src", "source_size", "target", (F.col("whole") + more).alias("whole"), (F.col("rest") - more * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("cut"))
     )
     shift = 60
     for _ in range(2):  # narrow the cut of every source by 8 bits of the hash
         shift -= _BITS
         bins = (
-            rows.join(plan, F.col("source").eqNullSafe(F.col("src")))
+            meet(rows, plan, "key", "src", hot)
             .where(F.shiftright("h", shift + _BITS) == F.col("cut"))
             .groupBy("src", F.shiftright("h", shift).alias("bin"))
             .agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
@@ -99,11 +115,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
             .select(F.col("src").alias("s"), F.col("bin"), (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
         )
         plan = checkpointed(
-            plan.join(found, F.col("src").eqNullSafe(F.col("s")), "left")
+            plan.join(found, F.col("src") == F.col("s"), "left")
             # a source without a cut (size 0) keeps bin 0: nothing is taken there
             .select("src", "source_size", "target", "whole", F.coalesce("left", F.lit(0)).alias("rest"), F.coalesce("bin", F.lit(0)).alias("cut"))
         )
-    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("src"))).withColumn("bin", F.shiftright("h", shift))
+    placed = meet(rows, plan, "key", "src", hot).withColumn("bin", F.shiftright("h", shift))
     outside = placed.where(F.col("bin") != F.col("cut")).withColumn("more", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(0))
     upto = Window.partitionBy("src").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.coalesce(F.sum("size").over(upto), F.lit(0))
@@ -114,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s),
