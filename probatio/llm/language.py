@@ -4,6 +4,10 @@ A linear support vector machine per language family predicts the family first; i
 machines separate the closely related languages by votes. Features are relative frequencies of byte trigrams of the
 lower-cased letters, hashed to a fixed number of slots. Every machine is linear in them, so scoring a text is one
 table look-up per byte and one sum per machine, whatever the length of the text.
+
+Machines only tell the learned languages apart, so each language also keeps a profile: how likely its texts are under
+its own trigram frequencies. The score of a prediction is the margin of the family, times that of the closest rival in
+it, times how typical the text is of the predicted language; all three are 0 in doubt and 1 when sure.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import checkpointed, fold
+from probatio.llm.common import checkpointed, fold, free_name
 
 # Language codes by family. Codes that are not listed form a family of their own.
 FAMILIES = {
@@ -34,6 +38,12 @@ UNKNOWN = "und"
 SLOTS = 4096
 FOLDS = 3
 TRAIN_ROWS_PER_LANGUAGE = 1500
+#: Most training rows in all: with many languages each gets an equal part, so the matrix has a fixed bound (160 MB).
+TRAIN_ROWS = 10_000
+#: Most languages that are learned, those with the most training rows first.
+MOST_LANGUAGES = 200
+#: Deviations below the learned texts of a language at which a text is as likely of no learned language.
+TYPICAL = 8.0
 _SHIFT = np.uint32(32 - SLOTS.bit_length() + 1)
 #: Bytes of text that are turned into slots at once.
 _CHUNK = 1 << 21
@@ -126,21 +136,28 @@ class Model:
                 rows = (y == a) | (y == b)
                 found.append(_machine(x, y == a, rows))
                 self.pairs.append((name, a, b))
-        self.weights = np.stack([w * scale for w, _ in found], 1) if found else np.zeros((SLOTS, 0), np.float32)
-        self.bias = np.array([b for _, b in found])
-
-    def margins(self, text: str) -> np.ndarray:
+        if len(x):
+            x /= scale
+        self.profiles = {lang: Profile(x, np.flatnonzero(y == lang)) for lang in langs}
+        columns = [w * scale for w, _ in found] + [self.profiles[lang].log for lang in langs]
+        self.weights = np.stack(columns, 1) if columns else np.zeros((SLOTS, 0), np.float32)
+        self.bias = np.array([b for _, b in found] + [0.0] * len(langs))
+
+    def margins(self, text: str) -> tuple[np.ndarray, int]:
+        """The value of every machine, then the mean log frequency under every profile; the number of trigrams."""
         total, n = np.zeros(len(self.bias)), 0
         for part in _spread(text):
             slots = _slots(part)
             total += np.bincount(slots, minlength=SLOTS) @ self.weights
             n += len(slots)
-        return total / max(1, n) + self.bias
+        return total / max(1, n) + self.bias, n
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or text is None or not has_letter(text):
             return UNKNOWN, 0.0
-        sure = 1 / (1 + np.exp(-4 * np.clip(m := self.margins(text), -50, 50)))
+        values, n = self.margins(text)
+        machines = len(values) - len(self.langs)
+        sure = 1 / (1 + np.exp(-4 * np.clip(m := values[:machines], -50, 50)))
         chosen, score = 0, 1.0
         if self.n_family == 1:
             chosen, score = (0, sure[0]) if m[0] >= 0 else (1, 1 - sure[0])
@@ -155,22 +172,51 @@ class Model:
                 votes[a if p >= 0.5 else b] += 1
                 least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
         lang = max(votes, key=lambda k: (votes[k], least[k]))
-        return lang, float(score * least[lang])
+        margin = max(0.0, 2 * float(score) - 1) * max(0.0, 2 * float(least[lang]) - 1)
+        return lang, margin * self.profiles[lang].typical(float(values[machines + self.langs.index(lang)]), n)
+
+
+class Profile:
+    """Log frequencies of one language's trigrams, and how they vary from text to text."""
+
+    def __init__(self, x: np.ndarray, rows: np.ndarray):
+        # Row by row, so that no part of the matrix is copied; texts weigh the same whatever their length.
+        mean = np.zeros(SLOTS)
+        for i in rows:
+            mean += x[i]
+        mean /= max(1, len(rows))
+        self.log = np.log(0.99 * mean + 0.01 / SLOTS).astype(np.float32)
+        own = np.array([float(x[i] @ self.log) for i in rows])
+        self.mean = float(own.mean()) if len(own) else 0.0
+        self.spread = float(own.std()) if len(own) else 1.0
+        self.symbol = float(np.sqrt(mean @ (self.log - mean @ self.log) ** 2)) if len(own) else 1.0
+
+    def typical(self, value: float, n: int) -> float:
+        """1 for a text as likely as the learned ones, 1/2 at TYPICAL deviations below, towards 0 beyond.
+
+        The deviation is that between texts, and for ``n`` trigrams that of a mean of so many.
+        """
+        deviation = np.sqrt(self.spread**2 + self.symbol**2 / max(1, n) + 1e-4)
+        return float(1 / (1 + np.exp(np.clip(2 * ((self.mean - value) / deviation - TYPICAL), -50, 50))))
 
 
 def fit(docs: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> Model:
     """Learn from the rows of the training folds (crc32 of doc_id mod 3 is not 1) with text and lang.
 
-    At most about ``rows_per_language`` rows of each language are taken, by a hash of doc_id; their features are
-    made on the executors and only those (a fixed number of floats each) reach the driver.
+    At most about ``rows_per_language`` rows of each language are taken, by a hash of doc_id and text, and at most
+    TRAIN_ROWS in all; their features are made on the executors and only those (a fixed number of floats each) reach
+    the driver. At most MOST_LANGUAGES languages are learned.
     """
     train = docs.select("doc_id", "text", "lang").where((fold(F.col("doc_id"), FOLDS) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {row["lang"]: row["n"] for row in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_lang = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {row["lang"]: row["n"] for row in by_lang.collect()}
     if not counts:
         return Model([], np.zeros((0, SLOTS), np.float32), np.zeros(0, object))
+    rows_per_language = max(1, min(rows_per_language, TRAIN_ROWS // len(counts)))
     share = F.element_at(F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, rows_per_language / n)))), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
-    sample = train.where(drawn).select("lang", F.pandas_udf(lambda t: t.map(lambda s: features(s).tobytes()), "binary")(F.col("text")).alias("x"))
+    # Rows that repeat are drawn together, so they are learned from once.
+    sample = train.where(F.col("lang").isin(list(counts)) & drawn).dropDuplicates(["doc_id", "text", "lang"]).select("lang", F.pandas_udf(lambda t: t.map(lambda s: features(s).tobytes()), "binary")(F.col("text")).alias("x"))
     # Written once, then read a few rows at a time into the one matrix that the driver holds.
     sample = checkpointed(sample)
     x, y = np.zeros((sample.count(), SLOTS), np.float32), []
@@ -180,8 +226,13 @@ def fit(docs: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> Mo
     return Model(sorted(set(y)), x, np.array(y, object))
 
 
-def with_language(docs: DataFrame, model: Model, column: str = "__language") -> DataFrame:
-    """``docs`` with a struct column (lang_pred, score). Nulls and texts without a letter get (und, 0)."""
+def with_language(docs: DataFrame, model: Model, column: str = "language") -> DataFrame:
+    """``docs`` with a struct column (lang_pred, score). Nulls and texts without a letter get (und, 0).
+
+    ``column`` must be no column of ``docs``.
+    """
+    if column in docs.columns:
+        raise ValueError(f"{column} is a column already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -190,12 +241,21 @@ def with_language(docs: DataFrame, model: Model, column: str = "__language") ->
     return docs.withColumn(column, F.pandas_udf(predict, "lang_pred string, score double")(F.col("text")))
 
 
+def keep_known(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language with at least ``least_score``."""
+    column = free_name(docs, "language")
+    judged = with_language(docs, fit(docs), column)
+    sure = (F.col(f"{column}.lang_pred") != UNKNOWN) & (F.col(f"{column}.score") >= least_score)
+    return judged.where(sure).select(*(f"`{c}`" for c in docs.columns))
+
+
 def identify(docs: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
 
     A null doc_id counts as the empty text in the split (fold 0, training). Null texts and texts without a letter
-    are ``und`` with score 0, as is everything where nothing could be learned. Only the text enters a prediction;
-    repeated rows are predicted each; other columns are ignored; no rows give no rows.
+    are ``und`` with score 0, as is everything where nothing could be learned. Texts of any length are read whole,
+    in chunks. Equal votes go to the language whose closest machine is surest, then to the first by code. Only the
+    text enters a prediction; repeated rows are predicted each; other columns are ignored; no rows give no rows.
     """
     rows = with_language(docs.select("doc_id", "text"), fit(docs, rows_per_language))
-    return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 1).alias("held_out"), "__language.lang_pred", "__language.score")
+    return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 1).alias("held_out"), "language.lang_pred", "language.score")
