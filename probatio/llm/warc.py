@@ -2,7 +2,8 @@
 
 Records are grouped into independent Zstandard frames; a bundle is a run of frames and, as its last frame, a seek
 table in the published seekable format (a skippable frame with the sizes of all frames). An index maps each record
-to its frame and the offset inside, so one record is read by decompressing one frame. Equal payloads are stored once:
+to its frame and the offset inside, so one record is read by decompressing one frame; it is a column of the table
+and, in a second skippable frame, part of the archive itself. Equal payloads are stored once:
 the page with the smallest id is a response, the others are revisits that refer to it.
 
 Bundles are rows (bundle, content, index) of a table that Spark writes and commits, so a lost executor leaves no half
@@ -22,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probatio.llm.common import checkpointed
+
 #: Payloads of at least so many bytes are stored once.
 MIN_REVISIT_BYTES = 0
 #: Uncompressed bytes of a frame and of a bundle at which the next one begins.
@@ -30,6 +33,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the seekable format.
 _SKIPPABLE_MAGIC, _SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
+#: Another skippable frame, of ours, that holds the index of records.
+_INDEX_MAGIC = 0x184D2A51
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BUNDLE = "bundle string, content binary, index array<struct<record_id:string,frame:int,offset:long,length:long>>"
 
@@ -38,9 +43,9 @@ def record_id(page_id) -> str:
     return f"<urn:x-page:{'null' if page_id is None else int(page_id)}>"
 
 
-def page_of(record: str | None):
+def page_of(record: str | None) -> str | None:
     body = record[len("<urn:x-page:") : -1] if record else "null"
-    return None if body == "null" else int(body)
+    return None if body == "null" else body
 
 
 def digest32(payload: bytes) -> str:
@@ -102,7 +107,8 @@ class Bundle:
     def finish(self) -> bytes:
         self._close_frame()
         table = b"".join(struct.pack("<II", *x) for x in self.sizes) + struct.pack("<IBI", len(self.sizes), 0, _SEEK_MAGIC)
-        return b"".join(self.frames) + struct.pack("<II", _SKIPPABLE_MAGIC, len(table)) + table
+        index = "".join(f"{name}\t{frame}\t{offset}\t{length}\n" for name, frame, offset, length in self.index).encode()
+        return b"".join(self.frames) + struct.pack("<II", _INDEX_MAGIC, len(index)) + index + struct.pack("<II", _SKIPPABLE_MAGIC, len(table)) + table
 
 
 def seek_table(content: bytes) -> list[tuple[int, int, int]]:
@@ -122,23 +128,38 @@ def read_frame(content: bytes, frame: tuple[int, int, int]) -> bytes:
     return zstandard.ZstdDecompressor().decompress(content[at : at + packed], max_output_size=size)
 
 
-def read_one(content: bytes, index: list, name: str) -> tuple[dict, bytes]:
-    """One record by its identifier: a seek, one frame, an offset."""
-    entry = next(e for e in index if e[0] == name)
-    data = read_frame(content, seek_table(content)[entry[1]])
-    return parse_record(data, entry[2])[:2]
+def read_index(content: bytes) -> dict[str, tuple[int, int, int]]:
+    """Record identifier to (frame, offset, length), from the frame before the seek table; the last of repeated ones."""
+    at = sum(packed for _, packed, _ in seek_table(content))
+    magic, size = struct.unpack("<II", content[at : at + 8])
+    if magic != _INDEX_MAGIC:
+        raise ValueError("no index of records")
+    lines = content[at + 8 : at + 8 + size].decode().splitlines()
+    return {name: (int(frame), int(offset), int(length)) for name, frame, offset, length in (line.split("\t") for line in lines)}
+
+
+def read_one(content: bytes, name: str) -> tuple[dict, bytes]:
+    """One record of an archive by its identifier: a seek, one frame, an offset."""
+    frame, offset, _ = read_index(content)[name]
+    return parse_record(read_frame(content, seek_table(content)[frame]), offset)[:2]
 
 
 def plan_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload, refers_to: refers_to is null for a response.
 
     The smallest page_id of every repeated payload is found by an aggregation of digests (combined before the
-    shuffle). Pages are joined to the repeated digests only; a payload that very many pages share makes one skewed
-    key of a sort-merge join, whose page side adaptive execution splits.
+    shuffle) and joined to the digests of the pages. A payload that holds more than 1/256 of all pages is a hot key;
+    there are fewer than 256 of those, so their digests are broadcast and no page of theirs moves.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    repeated = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(repeated.select(F.col("sha").alias("s"), "first_page"), (F.col("sha") == F.col("s")) & (F.octet_length("payload") >= least), "left")
+    same = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
+    repeated = checkpointed(same.where("n > 1").select(F.col("sha").alias("s"), "first_page", "n"))
+    hot = [bytes(row["s"]) for row in repeated.where(F.col("n") * 256 > F.lit(pages.count())).select("s").collect()]
+    alike = (F.col("sha") == F.col("s")) & (F.octet_length("payload") >= least)
+    is_hot = F.col("sha").isin(hot) & (F.octet_length("payload") >= least)
+    joined = (rows.where(~is_hot) if hot else rows).join(repeated.where(~F.col("s").isin(hot)) if hot else repeated, alike, "left")
+    if hot:
+        joined = joined.unionByName(rows.where(is_hot).join(F.broadcast(repeated.where(F.col("s").isin(hot))), alike))
     later = F.col("first_page").isNotNull() & F.coalesce(F.col("page_id") > F.col("first_page"), F.lit(True))
     return joined.select("page_id", "url", "payload", F.when(later, F.col("first_page")).alias("refers_to"))
 
@@ -155,8 +176,7 @@ def write_bundles(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame
         part, n, bundle = TaskContext.get().partitionId(), 0, Bundle()
         row = lambda: pd.DataFrame({"bundle": [f"bundle-{part:06d}-{n:04d}"], "content": [bundle.finish()], "index": [bundle.index]})
         for pdf in batches:
-            for page, url, payload, refers in zip(pdf["page_id"].astype(object), pdf["url"], pdf["payload"], pdf["refers_to"].astype(object)):
-                page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
+            for page, url, payload, refers in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["refers_to"]):
                 bundle.add(record_id(page), build_record(page, url, bytes(payload), refers, refers is not None))
                 if bundle.bytes >= BUNDLE_BYTES:
                     yield row()
@@ -164,11 +184,12 @@ def write_bundles(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame
         if bundle.index:
             yield row()
 
-    typed = plan_revisits(pages, least).select("page_id", "url", "payload", "refers_to")
+    # Ids travel as text: pandas would make nullable longs floats, which round beyond 2^53.
+    typed = plan_revisits(pages, least).select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
     return typed.mapInPandas(write, BUNDLE)
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
@@ -196,10 +217,10 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         raise ValueError(f"{name}: payload and digest differ")
                     size = int(head.rpartition(b"Content-Length: ")[2])
                     rows.append((page_of(name), size, digest, kind, page_of(headers.get("WARC-Refers-To"))))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
-                yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
-    return bundles.mapInPandas(read, READ)
+    found = bundles.mapInPandas(read, READ)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def export(bundles: DataFrame, folder: str) -> list[str]:
