@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op4_warc_bundles": warc.SQL, "op9_source_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
+    return {"op2_chat_formatting": chat.SQL, "op3_quality_rules": quality.sql(), "op4_warc_bundles": warc.SQL, "op9_source_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
