@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probatio.llm.common import free_name
+
 #: Edits allowed for a character of an item.
 ERROR_RATE = 0.08
-#: Most characters of items that are broadcast together.
-BLOCK_CHARS = 8_000_000
+#: Most characters of items that are broadcast together: a Python worker needs about 90 bytes for each.
+BLOCK_CHARS = 1_000_000
 
 _SPACE = re.compile(r"\s")
 HITS = "array<struct<item_id:long,distance:int,start:int,length:int>>"
@@ -80,11 +82,12 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items, found = [], {}
+        self.patterns: dict[tuple[int, bool], Pattern] = {}
         for item_id, text in items:
             text = normalise(text)
             k = int(rate * len(text))
             n = len(self.items)
-            self.items.append((item_id, text, Pattern(text, k), Pattern(text[::-1], k)))
+            self.items.append((item_id, text, k))
             for at, piece in pieces(text, k):
                 found.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
@@ -104,9 +107,18 @@ class Matcher:
                 diagonals.setdefault(n, set()).add(end + 1 - size - at)
         return sorted(hit for n, starts in diagonals.items() if (hit := self._verify(text, n, sorted(starts))))
 
+    def _pattern(self, n: int, backward: bool) -> Pattern:
+        """The bit masks of an item, made when it is first met; only the latest few are kept."""
+        if (n, backward) not in self.patterns:
+            if len(self.patterns) >= 512:
+                self.patterns.clear()
+            _, text, k = self.items[n]
+            self.patterns[n, backward] = Pattern(text[::-1] if backward else text, k)
+        return self.patterns[n, backward]
+
     def _verify(self, text: str, n: int, starts: list[int]) -> tuple[int, int, int, int] | None:
-        item_id, item, forward, backward = self.items[n]
-        m, k = forward.m, forward.k
+        item_id, item, k = self.items[n]
+        m = len(item)
         spans: list[list[int]] = []
         for s in starts:
             low, high = max(0, s - k), min(len(text), s + m + k)
@@ -119,14 +131,14 @@ class Matcher:
             if (at := text.find(item, low, high)) >= 0:
                 return item_id, 0, at, m
             if high - low >= m - k:
-                d, e = forward.best(text, low, high)
+                d, e = self._pattern(n, False).best(text, low, high)
                 if d < least:
                     least, end = d, e
         if least > k:
             return None
         # The passage begins where the reversed item, matched backwards from its end, is as near.
         reverse = text[max(0, end - m - k) : end][::-1]
-        length = backward.best(reverse, 0, len(reverse), anchored=True)[1]
+        length = self._pattern(n, True).best(reverse, 0, len(reverse), anchored=True)[1]
         return item_id, least, end - length, length
 
 
@@ -172,6 +184,7 @@ def contaminations(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE,
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item."""
+    columns, hits = docs.columns, free_name(docs, "hits")
     for column in match_columns(items, F.col("text"), rate, block_chars):
-        docs = docs.withColumn("__hits", column).where(F.size("__hits") == 0).drop("__hits")
+        docs = docs.withColumn(hits, column).where(F.size(hits) == 0).select(*(f"`{c}`" for c in columns))
     return docs
