@@ -37,11 +37,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
     ``example`` is the position of its last turn; the loss mask are the ``loss_length`` code points of
     ``formatted`` from offset ``loss_start`` (0 and 0 in an example without target). Turns are ordered by turn
     (null first), then role and text, so ties and repeated rows keep a fixed order and all stay. Null roles and
-    texts count as empty; rows with a null conv_id form one conversation; other columns are ignored. Longer
-    histories make proportionally longer examples: that is what the expansion is. No rows, no examples.
+    texts count as empty; other columns are ignored. A row with a null conv_id belongs to no conversation: each is one
+    of its own. Longer histories make proportionally longer examples: that is what the expansion is. No rows, no
+    examples.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    rows = turns.select("conv_id", turn.alias("t"))
+    chats = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    chats = chats.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("ts")))
     chats = chats.select("conv_id", "ts", F.transform("ts", _render).alias("rendered"))
     ends = F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: (F.element_at(F.col("ts"), i)["role"] == ASSISTANT) | (i == F.size("ts")))
     examples = chats.select("conv_id", "ts", "rendered", F.explode(ends).alias("example"))
@@ -71,7 +74,7 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """One row for each conversation, read back from its formatted examples.
+    """One row for each conversation, read back from its formatted examples; one for each row without conv_id.
 
     The turns are read from the example that holds all of them, the loss text from every example's own mask.
     """
@@ -84,9 +87,11 @@ def digests(examples: DataFrame) -> DataFrame:
         F.when(F.col("is_last"), F.struct(F.size(read_turns(F.col("formatted"))).cast("long").alias("n"), F.sha2(F.array_join(whole, "").cast("binary"), 256).alias("sha"))).alias("all"),
         F.when(F.col("loss_length") > 0, F.struct("example", masked.alias("text"))).alias("loss"),
     )
-    by_chat = read.groupBy("conv_id").agg(
+    by_chat = read.where("conv_id IS NOT NULL").groupBy("conv_id").agg(
         F.max("all").alias("all"), F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list("loss")).alias("loss")
     )
+    alone = read.where("conv_id IS NULL").select("conv_id", "all", F.col("chars").alias("formatted_chars"), F.array_compact(F.array("loss")).alias("loss"))
+    by_chat = by_chat.unionByName(alone)
     loss = F.array_join(F.transform("loss", lambda x: x["text"]), "")
     return by_chat.select(
         "conv_id",
@@ -110,19 +115,19 @@ def with_probe(turns: DataFrame) -> DataFrame:
 
 SQL = rf"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')) v(conv_id, turn, role, text)),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT conv_id, NULL, turn, role, text FROM (VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')) v(conv_id, turn, role, text)),
 e AS (
   SELECT *, length(regexp_replace(replace(role, '\', '\\'), '(<|\[)(/?(?:s>|INST\]))', '\1\\\2', 'g'))
           + length(regexp_replace(replace(text, '\', '\\'), '(<|\[)(/?(?:s>|INST\]))', '\1\\\2', 'g')) + {len(_OPEN + _MIDDLE + _CLOSE)} AS chars
   FROM t),
 p AS (
-  SELECT *, sum(chars) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back
-  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+  SELECT *, sum(chars) OVER w AS upto, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back
+  FROM e WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (sum(upto) FILTER (role = 'assistant' OR back = 1))::BIGINT AS formatted_chars
-FROM p GROUP BY conv_id
+FROM p GROUP BY conv_id, own
 """
