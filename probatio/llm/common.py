@@ -42,28 +42,27 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def hot_keys(many: DataFrame, key: str) -> tuple[list, bool]:
-    """The keys that hold more than 1/256 of the rows, fewer than 256 whatever the data, and whether there are others."""
-    counts = many.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    n = many.count()
-    rows = counts.where(F.col("k").isNotNull() & (F.col("n") * 256 > n)).collect()
-    return [row["k"] for row in rows], sum(row["n"] for row in rows) < n
+def hot_keys(many: DataFrame, key: str) -> list:
+    """Keys that hold more than 1/256 of the rows, fewer than 256 whatever the data. One pass, nothing is shuffled.
+
+    Counted by a sketch of frequent items that is exact up to far more items than can be hot; one that is reported
+    although it is a little below the bound does no harm.
+    """
+    n, top = many.agg(F.count(key), F.expr(f"approx_top_k(`{key}`, 255, 10000)")).first()
+    return [row["item"] for row in top or [] if row["item"] is not None and row["count"] * 256 > n]
 
 
-def meet(many: DataFrame, one: DataFrame, key: str, other: str, hot: tuple[list, bool] | None = None) -> DataFrame:
+def meet(many: DataFrame, one: DataFrame, key: str, other: str, hot: list) -> DataFrame:
     """``many`` joined on ``key`` with the one row of ``one`` that has it as ``other``, safe from hot keys.
 
-    The rows of ``one`` for the hot keys are broadcast, so the many rows that hold them stay where they are; all
-    other rows are shuffled. ``hot`` is what hot_keys gave, where the caller knows it already.
+    The rows of ``one`` for the hot keys are broadcast (fewer than 256), so the many rows that hold them stay where
+    they are; all other rows are shuffled.
     """
-    keys, others = hot or hot_keys(many, key)
-    if not keys:
+    if not hot:
         return many.join(one, F.col(key) == F.col(other))
-    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
-    near = many.where(is_hot).join(F.broadcast(one.where(F.col(other).isin(keys))), F.col(key) == F.col(other))
-    if not others:
-        return near
-    return near.unionByName(many.where(~is_hot).join(one.where(~F.col(other).isin(keys)), F.col(key) == F.col(other)))
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    near = many.where(is_hot).join(F.broadcast(one.where(F.col(other).isin(hot))), F.col(key) == F.col(other))
+    return near.unionByName(many.where(~is_hot).join(one.where(~F.col(other).isin(hot)), F.col(key) == F.col(other)))
 
 
 def remove_folder(spark, folder: str) -> None:
@@ -76,9 +75,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
-
-
-def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
-    """Rows and UTF-8 bytes of the text column, for sizing partitions."""
-    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    return n, size

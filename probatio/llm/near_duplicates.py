@@ -5,10 +5,15 @@ of a MinHash signature. Candidate pairs compare their signatures a few values at
 the posterior (uniform prior) that the similarity reaches the threshold is a beta tail, and a pair is dropped once it
 falls below a tolerance. The pairs that are left are verified exactly on their shingle sets.
 
-Equal texts are one class from the start. Classes that share a band form candidate components (connected components
-over one edge per class and band, never pairs). A large component is cut into blocks of bounded size, and each pair
-of blocks is one task's work: it counts links and returns a spanning forest of them, so what Spark moves and stores
-stays linear in the number of classes however large a group of near copies is, and yet no link is lost.
+Equal texts are one class from the start. Classes that share a band form components (one edge per class and band,
+never pairs). Two passes go over components, each in blocks of bounded size, a pair of blocks at a time:
+
+* pruning moves signatures only (500 bytes a class) and returns a spanning forest of the pairs that survive, which
+  cuts components that hang together by weak bands into small ones and drops the classes without any partner;
+* verification moves the texts of what is left, counts links and returns a spanning forest of them.
+
+No pair is ever a row: what Spark stores is linear in the classes. A component of n different texts is compared pair
+by pair, as the number of links of each asks for; its classes are sent to n / BLOCK_CLASSES tasks each.
 """
 
 from __future__ import annotations
@@ -19,18 +24,18 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import checkpointed
+from probatio.llm.common import checkpointed, free_name, meet
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: Bands and signature values in a band: at similarity 0.8 a pair shares no band with probability 5e-5.
 BANDS, ROWS = 25, 5
 #: A pair is dropped when the posterior of reaching the threshold is below this; values compared in a step.
 TOLERANCE, STEP = 1e-6, 25
-#: Classes and characters of text in a block of a component, and classes of small components in one batch.
-BLOCK_CLASSES, BLOCK_CHARS = 512, 8_000_000
+#: Classes and characters of text in a block of a component.
+BLOCK_CLASSES, BLOCK_CHARS = 2048, 8_000_000
 _SIZE = BANDS * ROWS
 _FACTORS = np.random.default_rng(20240607).integers(0, 1 << 32, (2, _SIZE), dtype=np.uint64).astype(np.uint32)
 _FACTORS[0] |= 1
@@ -72,9 +77,9 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(sig: np.ndarray) -> list[int]:
-    """One hash per band; the band's number is part of it."""
-    return [xxhash.xxh3_64_intdigest(sig[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+def bands(sig: Column) -> Column:
+    """One hash per band of a packed signature; the band's number is part of it."""
+    return F.array(*(F.xxhash64(F.substring(sig, 4 * ROWS * i + 1, 4 * ROWS), F.lit(i)) for i in range(BANDS)))
 
 
 @lru_cache(maxsize=None)
@@ -132,35 +137,54 @@ class _Forest:
         return i
 
 
-def link(keys: list, texts: list, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> list[tuple]:
-    """(key, links, root key) of every class that has a link: pairs of left x right, or within left if they are one."""
-    seen: dict = {}
-    sets = [shingles(words_of(t), seen) for t in texts]
-    sigs = np.stack([signature(s) for s in sets])
-    n_links = np.zeros(len(keys), np.int64)
-    forest = _Forest(len(keys))
+def _surviving(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float):
+    """(rows of left, a, b): some rows of the pair table at a time, the pairs (rows[a], right[b]) that stay."""
     same = left is right
-    for start in range(0, len(left), 128):  # rows of the pair table at a time
+    for start in range(0, len(left), 128):
         rows = left[start : start + 128]
         a, b = np.repeat(np.arange(len(rows)), len(right)), np.tile(np.arange(len(right)), len(rows))
         if same:
             keep = b > a + start
             a, b = a[keep], b[keep]
         stay = survivors(sigs[rows], sigs[right], a, b, threshold, tolerance)
-        a, b = a[stay], b[stay]
-        if not len(a):
-            continue
+        if len(stay):
+            yield rows, a[stay], b[stay]
+
+
+def _forest_rows(keys: list, a: np.ndarray, b: np.ndarray, forest: _Forest) -> None:
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = forest.root(i), forest.root(j)
+        if x != y:
+            forest.up[max(x, y)] = min(x, y)
+
+
+def prune(keys: list, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> list[tuple]:
+    """(key, root key) of every class that survives with a partner: pairs of left x right, or within left if they are one."""
+    forest, met = _Forest(len(keys)), np.zeros(len(keys), bool)
+    for rows, a, b in _surviving(sigs, left, right, threshold, tolerance):
+        a, b = rows[a], right[b]
+        met[a] = met[b] = True
+        # One pair for each row and root is enough for a forest.
+        _forest_rows(keys, a, b, forest)
+    return [(keys[i], keys[forest.root(i)]) for i in np.flatnonzero(met)]
+
+
+def link(keys: list, texts: list, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> list[tuple]:
+    """(key, links, root key) of every class that has a link: pairs of left x right, or within left if they are one."""
+    seen: dict = {}
+    sets = [shingles(words_of(t), seen) for t in texts]
+    sigs = np.stack([signature(s) for s in sets])
+    lengths = np.array([len(s) for s in sets])
+    n_links = np.zeros(len(keys), np.int64)
+    forest = _Forest(len(keys))
+    for rows, a, b in _surviving(sigs, left, right, threshold, tolerance):
         common = _common([sets[i] for i in rows], [sets[i] for i in right], a, b)
         a, b = rows[a], right[b]
-        lengths = np.array([len(s) for s in sets])
         similar = common >= threshold * (lengths[a] + lengths[b] - common) - 1e-9
         a, b = a[similar], b[similar]
         np.add.at(n_links, a, sizes[b])
         np.add.at(n_links, b, sizes[a])
-        for i, j in zip(a.tolist(), b.tolist()):
-            x, y = forest.root(i), forest.root(j)
-            if x != y:
-                forest.up[max(x, y)] = min(x, y)
+        _forest_rows(keys, a, b, forest)
     return [(keys[i], int(n_links[i]), keys[forest.root(i)]) for i in np.flatnonzero(n_links)]
 
 
@@ -168,90 +192,144 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph of (a, b) edges; component is the smallest node.
 
     Alternating large and small stars: every round is a fixed number of aggregations and joins over the edges, cut
-    by a checkpoint; rounds grow with the logarithm of the longest path. Nothing is collected.
+    by a checkpoint; rounds grow with the logarithm of the longest path. Minima are combined before the shuffle, and
+    the few nodes with very many edges are joined by broadcast, so no task gets all edges of a node.
     """
     current = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     if current.isEmpty():
         return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    state, hot = _state(current)
     while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(down, "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        after = checkpointed(small)
-        same = after.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        was = current.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        current = after
-        if same == was:
+        # Every node with its smallest neighbour; the larger neighbours move there.
+        both = current.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        large = meet(both.where("v > u"), least, "u", "w", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Then every node moves its smaller neighbours, of which hubs have none, to the smallest.
+        down = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        moved = large.join(down, F.col("u") == F.col("w"))
+        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
+        current, was = checkpointed(small), state
+        state, hot = _state(current)
+        if state == was:
             break
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return checkpointed(current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+
+
+def _state(edges: DataFrame) -> tuple[tuple, list]:
+    """Number and sum of hashes of the edges, equal for equal sets, and the nodes with more than 1/256 of them.
+
+    One pass without a shuffle. Only smaller ends can have that many: of the larger ends each edge has its own or few.
+    """
+    n, h, top = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.expr("approx_top_k(v, 255, 10000)")).first()
+    return (n, h), [row["item"] for row in top or [] if row["count"] * 256 > n]
 
 
-def _band_rows(texts: pd.Series) -> pd.Series:
+def _signatures(texts: pd.Series) -> pd.Series:
+    """Packed signatures; None without words."""
     out, seen = [], {}
     for text in texts:
         if len(seen) > 300_000:
             seen.clear()
         grams = shingles(words_of(text), seen)
-        out.append(bands(signature(grams)) if len(grams) else [])
-    return pd.Series(out)
+        out.append(signature(grams).tobytes() if len(grams) else None)
+    return pd.Series(out, dtype=object)
+
+
+def _blocks(placed: DataFrame, block_classes: int, block_chars: int) -> DataFrame:
+    """``placed`` (key, component, chars, ...) dealt to the tasks that compare it: component, block, low, high, task.
+
+    A component is cut into blocks by hash; each pair of blocks (low, high) is a task of its own, and components of
+    one block are put together to batches.
+    """
+    extent = placed.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("classes"), F.sum("chars").alias("chars"))
+    cuts = F.greatest(F.ceil(F.col("classes") / block_classes), F.ceil(F.col("chars") / block_chars)).cast("int")
+    extent = checkpointed(extent.select("c", "classes", "chars", cuts.alias("blocks")))
+    small = F.col("blocks") <= 1
+    of_small = lambda column: F.coalesce(F.sum(F.when(small, F.col(column))), F.lit(0))
+    *whole, n = extent.agg(of_small("classes"), of_small("chars"), F.coalesce(F.sum("classes"), F.lit(0))).first()
+    hot = _hot(extent, "c", "classes", n)
+    batches = max(1, -(-whole[0] // block_classes), -(-whole[1] // block_chars))
+    dealt = meet(placed, extent.select("c", F.greatest("blocks", F.lit(1)).alias("blocks")), "component", "c", hot)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    task = F.when(F.col("blocks") == 1, F.concat(F.lit("batch "), F.pmod(F.xxhash64("component"), F.lit(batches)))).otherwise(F.concat_ws(" ", "component", low, high))
+    return dealt.withColumns({"low": low, "high": high, "task": task}).drop("c", "other")
 
 
-def join_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(key, n_docs, first_id, group, linked): one row for each distinct text of ``docs`` (doc_id, text).
+def _hot(counted: DataFrame, key: str, n: str, total: int) -> list:
+    """The keys with more than 1/256 of all rows, by their counts: fewer than 256."""
+    return [row[key] for row in counted.where(F.col(n) * 256 > total).select(key).collect()]
+
+
+def _parts(pdf: pd.DataFrame):
+    """(rows by key, left, right, whole) of every pair of blocks in a task's rows; whole: the component has one block."""
+    for _, part in pdf.groupby(["component", "low", "high"], sort=False):
+        part = part.drop_duplicates("key").sort_values("key")
+        block, low = part["block"].to_numpy(), part["low"].iloc[0]
+        left = np.flatnonzero(block == low)
+        right = left if part["high"].iloc[0] == low else np.flatnonzero(block != low)
+        yield part, left, right, bool(part["blocks"].iloc[0] == 1)
+
+
+def _grown(forest: DataFrame) -> DataFrame:
+    """(node, component) from the forests of all tasks (key, root, whole): those of a whole component are final, those
+    of pairs of blocks are put together."""
+    final = forest.where("whole").select(F.col("key").alias("node"), F.col("root").alias("component"))
+    return final.unionByName(components(forest.where("NOT whole").select(F.col("key").alias("a"), F.col("root").alias("b"))))
+
+
+def join_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_classes: int = BLOCK_CLASSES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, n_docs, first_id, has_words, group, linked): one row for each distinct text of ``docs`` (doc_id, text).
 
     key: digest of the text; n_docs, first_id: rows with it and their smallest doc_id; linked: documents of other
     texts that are similar; group: smallest key of the connected component of links.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text"))
-    banded = keyed.select("doc_id", "key", F.pandas_udf(_band_rows, "array<bigint>")(F.col("text")).alias("bands"), F.length("text").alias("chars"))
+    signed = keyed.select("doc_id", "key", F.pandas_udf(_signatures, "binary")(F.col("text")).alias("sig"), F.length("text").alias("chars"))
     # One row for each distinct text, whatever its number of copies; combined before the shuffle.
     classes = checkpointed(
-        banded.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("chars").alias("chars"), F.max("bands").alias("bands"))
+        signed.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("chars").alias("chars"), F.max("sig").alias("sig"))
     )
-    cells = classes.select("key", F.explode("bands").alias("band"))
-    shared = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
-    edges = cells.join(shared.select("band", "least"), "band").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    candidates = components(edges)
-
-    # Blocks of bounded size inside each component; every pair of blocks is a group of its own.
-    sized = candidates.join(classes.select("key", "n_docs", "chars"), candidates["node"] == F.col("key"))
-    extent = sized.groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.sum("chars").alias("chars"))
-    cuts = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    extent = checkpointed(extent.select(F.col("component").alias("c"), "classes", cuts.alias("blocks")))
-    batches = max(1, -(-(extent.where("blocks = 1").agg(F.sum("classes")).first()[0] or 0) // BLOCK_CLASSES))
-    placed = sized.join(extent, F.col("component") == F.col("c")).select("key", "n_docs", "component", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("key", "n_docs", "component", "blocks", "block", other)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    task = F.when(F.col("blocks") == 1, F.concat(F.lit("batch "), F.pmod(F.xxhash64("component"), F.lit(batches)))).otherwise(F.concat_ws(" ", "component", low, high))
-    work = spread.select(F.col("key").alias("k"), "n_docs", "component", "block", low.alias("low"), high.alias("high"), task.alias("task"))
-    # Texts of the candidates: of a class, the row with its first id; the task keeps one of rows that repeat.
-    wanted = placed.join(classes.select(F.col("key").alias("ck"), "first_id"), F.col("key") == F.col("ck")).select(F.col("key").alias("wk"), "first_id")
-    texts = keyed.join(wanted, (F.col("key") == F.col("wk")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "text")
+    n_docs, n_cells = classes.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count("sig") * BANDS).first()
+    cells = classes.where("sig IS NOT NULL").select("key", F.explode(bands(F.col("sig"))).alias("band"))
+    shared = checkpointed(cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select(F.col("band").alias("b"), "least", "n"))
+    candidates = components(meet(cells, shared.drop("n"), "band", "b", _hot(shared, "b", "n", n_cells)).select(F.col("key").alias("a"), F.col("least").alias("b")))
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+    placed = candidates.join(classes.select("key", "chars", "sig"), F.col("node") == F.col("key")).select("key", "component", "sig", F.lit(0).cast("long").alias("chars"))
+
+    def prune_task(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for part, left, right, whole in _parts(pdf):
+            sigs = np.stack([np.frombuffer(s, np.uint32) for s in part["sig"]])
+            rows += [(*row, whole) for row in prune(part["key"].tolist(), sigs, left, right, threshold, tolerance)]
+        return pd.DataFrame(rows, columns=["key", "root", "whole"])
+
+    survived = _blocks(checkpointed(placed), 4 * block_classes, block_chars).select("key", "sig", "component", "blocks", "block", "low", "high", "task")
+    near = _grown(checkpointed(survived.groupBy("task").applyInPandas(prune_task, "key string, root string, whole boolean")))
+
+    # Texts of the survivors: of a class, the row with its first id, once.
+    wanted = checkpointed(near.join(classes.select("key", "n_docs", "first_id", "chars"), F.col("node") == F.col("key")).select("key", "component", "n_docs", "first_id", "chars"))
+    first = wanted.select(F.col("key").alias("k"), "first_id")
+    fetched = meet(keyed, first, "key", "k", _hot(classes, "key", "n_docs", n_docs)).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = fetched.groupBy("key").agg(F.first("text").alias("text"))
+    work = _blocks(wanted, block_classes, block_chars).withColumnRenamed("key", "k").drop("first_id", "chars")
+
+    def verify_task(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for _, part in pdf.groupby(["component", "low", "high"], sort=False):
-            part = part.drop_duplicates("key")
-            block, low = part["block"].to_numpy(), part["low"].iloc[0]
-            left = np.flatnonzero(block == low)
-            right = left if part["high"].iloc[0] == low else np.flatnonzero(block != low)
-            rows += link(part["key"].tolist(), part["text"].tolist(), part["n_docs"].to_numpy(np.int64), left, right, threshold, tolerance)
-        return pd.DataFrame(rows, columns=["key", "links", "root"])
-
-    met = work.join(texts, F.col("k") == F.col("key")).select("key", "text", "n_docs", "component", "block", "low", "high", "task")
-    linked = checkpointed(met.groupBy("task").applyInPandas(verify, "key string, links long, root string"))
-    groups = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    links = linked.groupBy("key").agg(F.sum("links").alias("linked"))
-    found = classes.select("key", "n_docs", "first_id", F.size("bands").alias("n_bands"))
+        for part, left, right, whole in _parts(pdf):
+            rows += [(*row, whole) for row in link(part["key"].tolist(), part["text"].tolist(), part["n_docs"].to_numpy(np.int64), left, right, threshold, tolerance)]
+        return pd.DataFrame(rows, columns=["key", "links", "root", "whole"])
+
+    met = work.join(texts, F.col("k") == F.col("key")).select("key", "text", "n_docs", "component", "blocks", "block", "low", "high", "task")
+    linked = checkpointed(met.groupBy("task").applyInPandas(verify_task, "key string, links long, root string, whole boolean"))
+    groups = _grown(linked)
+    links = linked.groupBy(F.col("key").alias("lk")).agg(F.sum("links").alias("linked"))
+    found = classes.select("key", "n_docs", "first_id", F.col("sig").isNotNull().alias("has_words"))
     return (
-        found.join(links.withColumnRenamed("key", "lk"), F.col("key") == F.col("lk"), "left")
+        found.join(links, F.col("key") == F.col("lk"), "left")
         .join(groups, F.col("key") == F.col("node"), "left")
-        .select("key", "n_docs", "first_id", (F.col("n_bands") > 0).alias("has_words"), F.coalesce("component", "key").alias("group"), F.coalesce("linked", F.lit(0)).alias("linked"))
+        .select("key", "n_docs", "first_id", "has_words", F.coalesce("component", "key").alias("group"), F.coalesce("linked", F.lit(0)).alias("linked"))
     )
 
 
@@ -265,9 +343,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     repeat are copies of each other; other columns are ignored; no rows give no rows.
     """
     classes = checkpointed(join_classes(docs, threshold, tolerance))
-    groups = classes.groupBy("group").agg(F.min("first_id").alias("class_id"), F.sum("n_docs").alias("group_size"))
-    answer = classes.join(groups, "group").select(F.col("key").alias("k"), "has_words", "class_id", "group_size", (F.col("linked") + F.col("n_docs") - 1).alias("n_links"))
-    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key")).join(answer, F.col("key") == F.col("k"))
+    n_classes, n_docs = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    groups = checkpointed(classes.groupBy(F.col("group").alias("g")).agg(F.min("first_id").alias("class_id"), F.sum("n_docs").alias("group_size"), F.count(F.lit(1)).alias("n")))
+    answer = checkpointed(meet(classes, groups, "group", "g", _hot(groups, "g", "n", n_classes)).select(F.col("key").alias("k"), "has_words", "class_id", "group_size", "n_docs", (F.col("linked") + F.col("n_docs") - 1).alias("n_links")))
+    rows = meet(docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key")), answer, "key", "k", _hot(answer, "k", "n_docs", n_docs))
     alone = ~F.col("has_words")
     return rows.select(
         "doc_id",
@@ -278,13 +357,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of ``docs``, all columns: of each group of near duplicates the row with the smallest doc_id.
+    """The rows of ``docs``, all columns, in a checkpoint: of each group of near duplicates the row with the smallest doc_id.
 
-    Null ids come last. Of rows that repeat id and text the first as read stays. Texts without words all stay.
+    Null ids come last. Of rows that repeat id and text the first of the checkpoint stays. Texts without words all stay.
     """
-    classes = checkpointed(join_classes(docs, threshold, tolerance)).select(F.col("key").alias("k"), "group", "has_words")
-    place = docs.select("*", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.monotonically_increasing_id().alias("row")).alias("__place"), F.md5(F.coalesce("text", F.lit(""))).alias("__key"))
-    ranked = place.select("__place", "__key").join(classes, F.col("__key") == F.col("k"))
-    firsts = ranked.groupBy(F.when(F.col("has_words"), F.col("group")).otherwise(F.concat_ws(" ", "group", F.col("__place.row")))).agg(F.min("__place.row").alias("any"), F.min("__place").alias("first"))
-    keep = firsts.select(F.col("first.row").alias("__row"))
-    return place.join(keep, F.col("__place.row") == F.col("__row"), "left_semi").drop("__place", "__key")
+    columns = docs.columns
+    row, key = free_name(docs, "row"), free_name(docs, "key")
+    # Numbered once and kept, so that a lost executor cannot number the rows anew.
+    place = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(key, F.md5(F.coalesce("text", F.lit("")))))
+    classes = checkpointed(join_classes(docs, threshold, tolerance).select(F.col("key").alias("k"), "group", "has_words", "n_docs"))
+    n_docs = classes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    slim = place.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row")).alias("at"), F.col(key).alias("key"))
+    ranked = meet(slim, classes, "key", "k", _hot(classes, "k", "n_docs", n_docs))
+    of = F.when(F.col("has_words"), F.col("group")).otherwise(F.concat_ws(" ", "group", F.col("at.row")))
+    keep = ranked.groupBy(of.alias("of")).agg(F.min("at").alias("first")).select(F.col("first.row").alias("kept"))
+    return place.join(keep, F.col(row) == F.col("kept"), "left_semi").select(*(f"`{c}`" for c in columns))
