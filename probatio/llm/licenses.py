@@ -57,6 +57,23 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
+# Digests of further published licence texts, normalised as this module does.
+DIGESTS = (
+    ("Apache-2.0", "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"),
+    ("Artistic-1.0-Perl", "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42"),
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
+    ("GFDL-1.3-only", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
+    ("GPL-1.0-only", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0-only", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0-only", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
+    ("LGPL-2.0-only", "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c"),
+    ("LGPL-2.1-only", "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "35f82aa0956f78c6101000ae9662fa0b3da3f2baf46c72fa9abdf5f68325097c"),
+    ("MPL-2.0", "92e88af3b436afcb6eef8128c9d1a7b2c6312377163ae31dfbacec094f33ab64"),
+)
 # Spellings that count as equal, applied in this order to the normalised text.
 SPELLINGS = (
     ("licenc", "licens"),
@@ -91,53 +108,56 @@ def _digest(entire: Column) -> Column:
     return F.sha2(entire.cast("binary"), 256)
 
 
-def known_digests(spark, known=KNOWN) -> DataFrame:
-    """(digest, license_id) of the known texts; of equal digests the first id by name stays."""
+def known_digests(spark, known=KNOWN, digests=DIGESTS) -> DataFrame:
+    """(digest, license_id) of the known texts and digests; of equal digests the first id by name stays."""
     texts = spark.createDataFrame(list(known), "license_id string, text string")
-    return texts.groupBy(_digest(_entire(normalised_lines(F.col("text")))).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    made = texts.select("license_id", _digest(_entire(normalised_lines(F.col("text")))).alias("digest"))
+    every = made.unionByName(spark.createDataFrame(list(digests), "license_id string, digest string"))
+    return every.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=KNOWN, digests=DIGESTS) -> DataFrame:
     """doc_id, text_digest, license_id, notices for every row of ``docs`` (doc_id, text).
 
     license_id: the licence whose normalised text the entire document is, else null. notices: the distinct ids of
     lines that are entire known texts, in order, comma-separated, empty if none. A null text counts as empty, which
-    is no licence. Repeated rows are looked up each; other columns are ignored; no rows give no rows.
-    ``known`` is a parameter of at most a few thousand texts: its digests are literals of the plan.
+    is no licence. Equal digests of two licences give the first id by name. Repeated rows are looked up each; other
+    columns are ignored; no rows give no rows. ``known`` and ``digests`` are parameters of at most a few thousand
+    entries: their digests are literals of the plan.
     """
     spark = docs.sparkSession
-    lookup = known_digests(spark, known).where(F.col("digest") != _digest(F.lit("")))
+    lookup = known_digests(spark, known, digests).where(F.col("digest") != _digest(F.lit("")))
     rows = lookup.collect()
-    longest = max((len(text) for _, text in known), default=0) * 2
     ids = F.create_map(*(F.lit(x) for row in rows for x in (row.digest, row.license_id))) if rows else None
     lines = docs.select("doc_id", normalised_lines(F.coalesce("text", F.lit(""))).alias("lines"))
     if ids is None:
         notices = F.lit("")
     else:
-        short = F.filter(F.split("lines", "\n"), lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
-        found = F.transform(short, lambda x: F.try_element_at(ids, _digest(_entire(x))))
+        found = F.transform(F.filter(F.split("lines", "\n"), lambda x: F.length(x) > 0), lambda x: F.try_element_at(ids, _digest(_entire(x))))
         notices = F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")
     keyed = lines.select("doc_id", _digest(_entire(F.col("lines"))).alias("text_digest"), notices.alias("notices"))
-    return keyed.join(lookup, keyed["text_digest"] == lookup["digest"], "left").select("doc_id", "text_digest", "license_id", "notices")
+    table = F.broadcast(spark.createDataFrame(rows, lookup.schema))
+    return keyed.join(table, F.col("text_digest") == F.col("digest"), "left").select("doc_id", "text_digest", "license_id", "notices")
 
 
 def _sql_quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def sql(known=KNOWN) -> str:
+def sql(known=KNOWN, digests=DIGESTS) -> str:
     lines = r"regexp_replace(regexp_replace(lower(text), '(^|\n)[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*', '\1', 'g'), '[^\p{L}\p{N}\n]+', ' ', 'g')"
     for spelt, as_ in SPELLINGS:
         lines = f"replace({lines}, '{spelt}', '{as_}')"
     values = ", ".join(f"({_sql_quoted(i)}, {_sql_quoted(t)})" for i, t in known)
-    longest = max(len(text) for _, text in known) * 2
+    given = ", ".join(f"({_sql_quoted(i)}, {_sql_quoted(d)})" for i, d in digests)
     return rf"""
-WITH k AS (SELECT sha256(trim(regexp_replace({lines}, '[ \n]+', ' ', 'g'))) AS digest, min(license_id) AS license_id
-           FROM (VALUES {values}) v(license_id, text) GROUP BY 1),
+WITH k AS (SELECT digest, min(license_id) AS license_id FROM (
+             SELECT license_id, sha256(trim(regexp_replace({lines}, '[ \n]+', ' ', 'g'))) AS digest FROM (VALUES {values}) v(license_id, text)
+             UNION ALL SELECT * FROM (VALUES {given}) g(license_id, digest)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, {lines.replace("lower(text)", "lower(coalesce(text, ''))")} AS lines FROM documents),
 l AS (SELECT r, unnest(string_split(lines, chr(10))) AS line FROM d),
 n AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-      FROM l JOIN k ON sha256(trim(line)) = digest WHERE length(line) BETWEEN 1 AND {longest} GROUP BY r),
+      FROM l JOIN k ON sha256(trim(line)) = digest WHERE length(line) > 0 GROUP BY r),
 e AS (SELECT *, sha256(trim(regexp_replace(lines, '[ \n]+', ' ', 'g'))) AS text_digest FROM d)
 SELECT e.doc_id, e.text_digest, k.license_id, coalesce(n.notices, '') AS notices
 FROM e LEFT JOIN k ON e.text_digest = k.digest LEFT JOIN n USING (r)
