@@ -57,6 +57,17 @@ def unnest(df: DataFrame, items, name: str, *keep: str, place: str | None = None
     return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
+def judged(docs: DataFrame, module: str, found: tuple[Column, Column]) -> DataFrame:
+    """doc_id, module, flags, confidence of one module, from its columns."""
+    return docs.select("doc_id", F.lit(module).alias("module"), found[0].alias("flags"), found[1].cast("double").alias("confidence"))
+
+
+def judged_together(docs: DataFrame, found: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """The same of several modules that read one table: a pass over it gives all of them."""
+    each = [F.struct(F.lit(m).alias("module"), flags.alias("flags"), confidence.cast("double").alias("confidence")) for m, (flags, confidence) in found.items()]
+    return docs.select("doc_id", F.array(*each).alias("modules")).select("doc_id", F.explode("modules").alias("m")).select("doc_id", "m.*")
+
+
 def first_where(items: Column, condition) -> Column:
     """The first element for which the condition holds, or null."""
     return F.try_element_at(F.filter(items, condition), F.lit(1))

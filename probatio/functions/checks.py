@@ -67,13 +67,18 @@ def income_range(tax: Column, parts: Column) -> Column:
 
 
 def register(spark) -> None:
-    """The checks as SQL functions."""
+    """The checks and the reading of amounts as SQL functions: luhn_siret, luhn_siren, fr_vat_valid, norm_amount."""
     for name, body in _SQL.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS BOOLEAN RETURN {body}")
+        kind = "DOUBLE" if name == "norm_amount" else "BOOLEAN"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
 
 
 _SQL = {
     "luhn_siret": "CASE WHEN x RLIKE '^[0-9]{14}$' THEN aggregate(transform(sequence(1, 14), i -> cast(substr(x, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 2 ELSE 1 END), 0, (a, d) -> a + CASE WHEN d > 9 THEN d - 9 ELSE d END) % 10 = 0 ELSE false END",
     "luhn_siren": "CASE WHEN x RLIKE '^[0-9]{9}$' THEN aggregate(transform(sequence(1, 9), i -> cast(substr(x, i, 1) AS INT) * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END), 0, (a, d) -> a + CASE WHEN d > 9 THEN d - 9 ELSE d END) % 10 = 0 ELSE false END",
     "fr_vat_valid": "CASE WHEN x RLIKE '^FR[0-9]{11}$' THEN luhn_siren(substr(x, 5)) AND cast(substr(x, 3, 2) AS INT) = (12 + 3 * (cast(substr(x, 5) AS BIGINT) % 97)) % 97 ELSE false END",
+    "norm_amount": r"""CASE WHEN replace(replace(regexp_replace(x, '(?U)[€$£\\s]', ''), ',', ''), '.', '') RLIKE '^[+-]?[0-9]+$' THEN try_cast(
+        CASE WHEN instr(x, ',') > 0 AND instr(x, '.') > 0 AND instr(reverse(x), ',') < instr(reverse(x), '.') THEN replace(replace(regexp_replace(x, '(?U)[€$£\\s]', ''), '.', ''), ',', '.')
+             WHEN instr(x, ',') > 0 AND instr(x, '.') > 0 THEN replace(regexp_replace(x, '(?U)[€$£\\s]', ''), ',', '')
+             ELSE replace(regexp_replace(x, '(?U)[€$£\\s]', ''), ',', '.') END AS DOUBLE) END""",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +52,22 @@ def title(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "-"), lambda part: F.initcap(part)), "-")
 
 
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str]:
+    """Every character of one code unit that decomposes to a base character and marks, and its base."""
+    marked, bare = [], []
+    for c in map(chr, range(0xC0, 0xD800)):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if base != c and len(base) == 1:
+            marked.append(c)
+            bare.append(base)
+    return "".join(marked), "".join(bare)
+
+
 def normalise(text: Column) -> Column:
     """Upper case without accents, white space collapsed: equal for texts that look alike."""
-    plain = F.translate(F.upper(text), "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ", "AAAAAACEEEEIIIINOOOOOUUUUYY")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{Mn}", ""), r"(?U)[\s\x1c-\x1f]+", " "))
+    plain = F.regexp_replace(F.translate(F.upper(text), *_accents()), r"\p{Mn}", "")
+    return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def amount(text: Column) -> Column:
@@ -64,7 +79,8 @@ def amount(text: Column) -> Column:
         .when((last_comma > 0) & (last_dot > 0), F.replace(digits, F.lit(","), F.lit("")))
         .otherwise(F.replace(digits, F.lit(","), F.lit(".")))
     )
-    return plain.try_cast("double")
+    # A cast alone takes suffixes such as the d of 12d for part of the number.
+    return F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
 
 
 def domain(url: Column) -> Column:

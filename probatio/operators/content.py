@@ -11,17 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import dims
-from probatio.flags import any_of, every, explode_flags, flag, keep_first, none, when
+from probatio.flags import any_of, every, explode_flags, flag, judged, none, when
 from probatio.functions import checks
-from probatio.functions.text import CASELESS, UNICODE, find_all, let, strip, title, window_of
+from probatio.functions.entities import entities
+from probatio.functions.text import CASELESS, let, strip
 
-_MONTH_NUMBERS = {name: number for number, names in dims.MONTHS.items() for name in names.split()}
-_MONTH_SPELLINGS = sorted([*_MONTH_NUMBERS, *(f"{m}\\." for m in dims.DOTTED_MONTHS)], key=len, reverse=True)
-FRENCH_DATE = rf"{CASELESS}\d{{1,2}}(?:er)?\s+(?:{'|'.join(_MONTH_SPELLINGS)})\s+\d{{4}}"
 _FRENCH_PARTS = rf"{CASELESS}(\d{{1,2}})(?:er)?\s+([a-zéûô]+)\.?\s+(\d{{4}})"
-#: Phrases by length, longest first; equally long ones in their listed order.
-_PHRASES = sorted(((kind, phrase) for kind, phrases in dims.DATE_PHRASES.items() for phrase in phrases), key=lambda x: -len(x[1]))
-DATES = "array<struct<date:timestamp_ntz,source:string,context:string,date_type:string>>"
 IDS = "array<struct<value:string,is_valid:boolean,context:string>>"
 
 
@@ -47,56 +42,27 @@ def _real(dates: Column) -> Column:
 def parse_french_date(text: Column) -> Column:
     """The first day, French month name and year of a text as timestamp, or null."""
     part = lambda n: F.regexp_extract(text, _FRENCH_PARTS, n)
-    return _dated(text, part(3), _lookup(_MONTH_NUMBERS, F.lower(part(2))), part(1))["date"]
+    return _dated(text, part(3), _lookup(dims.MONTHS, F.lower(part(2))), part(1))["date"]
 
 
 def french_dates(text: Column) -> Column:
-    return _real(F.transform(_matches(text, FRENCH_DATE), lambda m: F.struct(parse_french_date(m).alias("date"), m.alias("source"))))
+    """array<struct<date, source>>: days with French month names."""
+    return entities(text, "french_dates")["french_dates"]
 
 
 def numeric_dates(text: Column) -> Column:
     """Day/month/year with a year of four digits (and a time), then of two digits unless the day was found already."""
-    long_, short = UNICODE + dims.NUMERIC_DATE, UNICODE + dims.SHORT_DATE
-    part = lambda m, p, n: F.regexp_extract(m, p, n)
-    or_zero = lambda x: F.when(x == "", "0").otherwise(x)
-    full = _real(F.transform(_matches(text, long_), lambda m: _dated(m, part(m, long_, 3), part(m, long_, 2), part(m, long_, 1), or_zero(part(m, long_, 4)), or_zero(part(m, long_, 5)))))
-    brief = _real(F.transform(_matches(text, short), lambda m: _dated(m, F.concat(F.lit("20"), part(m, short, 3)), part(m, short, 2), part(m, short, 1))))
-    day = lambda d: d["date"].cast("date")
-    return let(full, lambda known: F.concat(known, keep_first(F.filter(brief, lambda d: ~F.exists(known, lambda e: day(e) == day(d))), day)))
+    return entities(text, "numeric_dates")["numeric_dates"]
 
 
 def month_year_dates(text: Column) -> Column:
     """Three-letter months before a two-digit year, as the first of the month."""
-    pattern = CASELESS + dims.MONTH_YEAR
-    part = lambda m, n: F.regexp_extract(m, pattern, n)
-    return _real(F.transform(_matches(text, pattern), lambda m: _dated(m, F.concat(F.lit("20"), part(m, 2)), _lookup(dims.SHORT_MONTHS, F.lower(part(m, 1))), F.lit("1"))))
-
-
-def date_type(context: Column) -> Column:
-    """The kind of the longest phrase in the context, or null."""
-    return let(F.lower(context), lambda low: F.coalesce(*(F.when(F.contains(low, F.lit(phrase)), F.lit(kind)) for kind, phrase in _PHRASES)))
-
-
-def date_context(text: Column, source: Column) -> Column:
-    """Up to 60 characters before the first occurrence of a date, from its line on, and the date."""
-    def found(at):
-        start = F.greatest(F.lit(0), at - 60)
-        before = F.regexp_replace(F.substr(text, start + 1, at - start), r"(?s)^.+\n", "")
-        return F.when(at >= 0, F.concat(before, F.substr(text, at + 1, F.length(source)))).otherwise(source)
-
-    return let(F.position(F.lower(source), F.lower(text)) - 1, found)
+    return entities(text, "month_year_dates")["month_year_dates"]
 
 
 def doc_dates(text: Column) -> Column:
     """All dates of a text with their context and kind; the same day in the same spelling counts once."""
-    found = F.concat(french_dates(text), numeric_dates(text), month_year_dates(text))
-    distinct = keep_first(found, lambda d: F.struct(d["date"].cast("date"), F.lower(strip(d["source"]))))
-
-    def described(d):
-        held = lambda context: F.struct(d["date"].alias("date"), d["source"].alias("source"), strip(context).alias("context"), date_type(context).alias("date_type"))
-        return let(date_context(text, d["source"]), held)
-
-    return F.transform(distinct, described)
+    return entities(text, "dates")["dates"]
 
 
 def _of_kind(dates: Column, kind: str) -> Column:
@@ -181,23 +147,7 @@ def duplicate_amounts(text: Column) -> Column:
 
 def references(text: Column) -> Column:
     """array<struct<ref, context, start>>: references by keyword, one for each position, without excluded contexts."""
-    excluded = CASELESS + "|".join(dims.REFERENCE_EXCLUSIONS)
-
-    def describing(pattern):
-        def described(m):
-            size = F.length(m["match"])
-            return F.struct(
-                F.upper(F.regexp_extract(m["match"], pattern, 1)).alias("ref"),
-                strip(window_of(text, m["start"], size, 30, 10)).alias("context"),
-                m["start"].alias("start"),
-                F.lower(window_of(text, m["start"], size, 50, 10)).rlike(excluded).alias("excluded"),
-            )
-
-        return described
-
-    patterns = [CASELESS + keyword + dims.REFERENCE for keyword in dims.REFERENCE_KEYWORDS]
-    found = [F.transform(find_all(text, p), describing(p)) for p in patterns]
-    return keep_first(F.filter(F.concat(*found), lambda r: ~r["excluded"]), lambda r: r["start"])
+    return entities(text, "refs")["refs"]
 
 
 def reference_mismatch(refs: Column, dates: Column) -> Column:
@@ -220,66 +170,42 @@ def reference_consistency(refs: Column) -> Column:
     return when(F.size(unique) > 1, flag("critical", "CONTENT_INCONSISTENT_REFERENCES", message, unique_references=F.size(unique), references=F.array_join(unique, ",")))
 
 
-def _identifiers(text: Column, patterns, clean, fits, valid, margin: int = 20) -> Column:
-    def describing(p):
-        def described(m):
-            context = strip(window_of(text, m["start"], F.length(m["match"]), margin, margin))
-            return let(clean(F.regexp_extract(m["match"], p, 1)), lambda v: F.struct(v.alias("value"), valid(v).alias("is_valid"), context.alias("context")))
-
-        return described
-
-    found = [F.transform(find_all(text, CASELESS + p), describing(CASELESS + p)) for p in patterns]
-    return keep_first(F.filter(F.concat(*found), lambda r: fits(r["value"])), lambda r: r["value"])
+def _judged(ids: Column, valid) -> Column:
+    return F.transform(ids, lambda r: F.struct(r["value"].alias("value"), valid(r["value"]).alias("is_valid"), r["context"].alias("context")))
 
 
-def _no_blanks(text: Column) -> Column:
-    return F.replace(text, F.lit(" "), F.lit(""))
+def identifiers(found: Column) -> dict[str, Column]:
+    """sirets, sirens, loose and vats with their validity, from a struct of entities; of loose numbers the valid ones."""
+    loose = F.filter(found["potential_sirens"], lambda r: checks.luhn_siren(r["value"]))
+    kinds = {"sirets": checks.luhn_siret, "sirens": checks.luhn_siren, "vats": checks.french_vat}
+    return {kind: _judged(found[kind], valid) for kind, valid in kinds.items()} | {"loose": loose}
 
 
 def sirets(text: Column) -> Column:
-    return _identifiers(text, dims.SIRET_PATTERNS, _no_blanks, lambda v: F.length(v) == 14, checks.luhn_siret)
+    return _judged(entities(text, "sirets")["sirets"], checks.luhn_siret)
 
 
 def sirens(text: Column) -> Column:
-    return _identifiers(text, dims.SIREN_PATTERNS, _no_blanks, lambda v: F.length(v) == 9, checks.luhn_siren)
+    return _judged(entities(text, "sirens")["sirens"], checks.luhn_siren)
 
 
 def vats(text: Column) -> Column:
-    return _identifiers(text, dims.VAT_PATTERNS, lambda v: _no_blanks(F.upper(v)), lambda v: v.rlike(r"^FR[0-9]{11}$"), checks.french_vat)
+    return _judged(entities(text, "vats")["vats"], checks.french_vat)
 
 
 def rcs(text: Column) -> Column:
     """array<struct<value, context>>: register entries as ``RCS City number`` or ``RCS City``."""
-
-    def describing(p, city, number):
-        def described(m):
-            where = title(strip(F.regexp_extract(m["match"], p, city)))
-            parts = [F.lit("RCS "), where] + ([F.lit(" "), _no_blanks(F.regexp_extract(m["match"], p, number))] if number else [])
-            return F.struct(F.concat(*parts).alias("value"), strip(window_of(text, m["start"], F.length(m["match"]), 10, 10)).alias("context"))
-
-        return described
-
-    kinds = ((dims.RCS_CITY_NUMBER, 1, 2), (dims.RCS_NUMBER_CITY, 2, 1), (dims.RCS_CITY, 1, None))
-    found = [F.transform(find_all(text, CASELESS + p), describing(CASELESS + p, city, number)) for p, city, number in kinds]
-    return keep_first(F.concat(*found), lambda r: r["value"])
+    return entities(text, "rcs")["rcs"]
 
 
 def share_capital(text: Column) -> Column:
     """array<struct<value, context>>: capital amounts as written."""
-
-    def describing(p):
-        return lambda m: F.struct(strip(F.regexp_extract(m["match"], p, 1)).alias("value"), strip(window_of(text, m["start"], F.length(m["match"]), 10, 10)).alias("context"))
-
-    return F.concat(*(F.transform(find_all(text, CASELESS + p), describing(CASELESS + p)) for p in dims.CAPITAL_PATTERNS))
+    return entities(text, "capitals")["capitals"]
 
 
 def potential_sirens(text: Column) -> Column:
     """Nine digits in threes that pass the check, each number once."""
-    p = UNICODE + dims.POTENTIAL_SIREN
-    described = lambda m: F.struct(
-        F.regexp_replace(m["match"], r"(?U)\s", "").alias("value"), strip(window_of(text, m["start"], F.length(m["match"]), 30, 30)).alias("context")
-    )
-    return F.filter(keep_first(F.transform(find_all(text, p), described), lambda r: r["value"]), lambda r: checks.luhn_siren(r["value"]))
+    return F.filter(entities(text, "potential_sirens")["potential_sirens"], lambda r: checks.luhn_siren(r["value"]))
 
 
 def _values(ids: Column, valid_only: bool = True) -> Column:
@@ -307,18 +233,17 @@ def legal_mentions(text: Column, siret: Column, siren: Column, vat: Column, regi
 
 
 def with_entities(docs: DataFrame) -> DataFrame:
-    """``docs`` with the entities of its text: dates, refs, sirets, sirens, vats, rcs."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"dates": doc_dates(text), "refs": references(text), "sirets": sirets(text), "sirens": sirens(text), "vats": vats(text), "rcs": rcs(text)})
+    """``docs`` with the entities of its text: dates, refs, sirets, sirens, vats, rcs. One pass over the text."""
+    name = max((c for c in docs.columns), key=len, default="") + "_entities"
+    found = docs.withColumn(name, entities(F.col("text"), "dates", "refs", "sirets", "sirens", "vats", "rcs"))
+    e = F.col(name)
+    ids = {"sirets": checks.luhn_siret, "sirens": checks.luhn_siren, "vats": checks.french_vat}
+    return found.withColumns({k: e[k] for k in ("dates", "refs", "rcs")} | {k: _judged(e[k], valid) for k, valid in ids.items()}).drop(name)
 
 
-def analyse(docs: DataFrame, as_of) -> DataFrame:
-    """doc_id, module, score parts of the content module for every row of ``docs`` (doc_id, text).
-
-    ``as_of`` takes the place of a clock. A blank text has no flags and almost no confidence; a null text is blank.
-    """
+def judge(as_of) -> tuple[Column, Column]:
+    """Flags and confidence of the content module, from text and the columns of with_entities."""
     now = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
-    rows = with_entities(docs.select("doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = strip(text) == ""
     d = F.col("dates")
@@ -328,7 +253,15 @@ def analyse(docs: DataFrame, as_of) -> DataFrame:
     )
     typed = F.size(F.filter(d, lambda x: x["date_type"].isNotNull()))
     confidence = F.when(blank, 0.1).when(typed >= 2, 0.9).when(F.size(d) >= 2, 0.7).when(F.size(d) == 1, 0.5).otherwise(0.3)
-    return rows.select("doc_id", F.lit("content").alias("module"), F.when(blank, none()).otherwise(flags).alias("flags"), confidence.alias("confidence"))
+    return F.when(blank, none()).otherwise(flags), confidence
+
+
+def analyse(docs: DataFrame, as_of) -> DataFrame:
+    """doc_id, module, flags, confidence of the content module for every row of ``docs`` (doc_id, text).
+
+    ``as_of`` takes the place of a clock. A blank text has no flags and almost no confidence; a null text is blank.
+    """
+    return judged(with_entities(docs.select("doc_id", "text")), "content", judge(as_of))
 
 
 def flags_table(docs: DataFrame, as_of) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio.flags import FLAGS, every, flag, none, unnest, when
+from probatio.functions.entities import entities
 from probatio.functions.text import names_match
 from probatio.operators import content
 
@@ -20,9 +21,9 @@ def requests(docs: DataFrame, vat: bool = False, name: str | None = None) -> Dat
     Numbers that fail their check are not looked up. A SIREN that begins a SIRET of the document, and a loose number
     that is a known SIREN of it, are not looked up again.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     company = F.col(name) if name else F.lit(None).cast("string")
-    read = docs.select("doc_id", company.alias("company"), content.sirets(text).alias("sirets"), content.sirens(text).alias("sirens"), content.potential_sirens(text).alias("loose"), content.vats(text).alias("vats"))
+    found = docs.select("doc_id", company.alias("company"), entities(F.col("text"), "sirets", "sirens", "potential_sirens", "vats").alias("e"))
+    read = found.select("doc_id", "company", *(ids.alias(n) for n, ids in content.identifiers(F.col("e")).items()))
     heads = F.transform("sirets", lambda x: F.substring(x["value"], 1, 9))
     known = F.concat(heads, F.transform("sirens", lambda x: x["value"]))
     ask = lambda items, kind: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x["value"].alias("number")))
@@ -40,12 +41,14 @@ def requests(docs: DataFrame, vat: bool = False, name: str | None = None) -> Dat
 def lookups(asked: DataFrame, companies: DataFrame, vat_numbers: DataFrame | None = None) -> DataFrame:
     """``asked`` with name, status, error, is_vat_valid and found of the registries.
 
-    ``companies``: siren, siret, name, status, error (why the lookup failed, or null). A SIRET finds its own
-    establishment, else the first one of its company; a SIREN the first one. ``vat_numbers``: vat, is_valid, error.
+    ``companies``: siren, siret, name, status, error (why the lookup failed, or null) and, if it is known, is_seat. A
+    SIRET finds its own establishment, else the seat of its company; a SIREN the seat (where no establishment is marked
+    as seat, that with the smallest SIRET). ``vat_numbers``: vat, is_valid, error.
     """
     told = F.struct("name", "status", "error")
+    seat = F.coalesce(F.col("is_seat"), F.lit(False)) if "is_seat" in companies.columns else F.lit(False)
     exact = companies.where("siret IS NOT NULL").groupBy(F.col("siret").alias("e_number")).agg(F.min(told).alias("exact"))
-    head = companies.where("siren IS NOT NULL").groupBy(F.col("siren").alias("h_number")).agg(F.min_by(told, F.struct("siret", "name")).alias("head"))
+    head = companies.where("siren IS NOT NULL").groupBy(F.col("siren").alias("h_number")).agg(F.min_by(told, F.struct(~seat, "siret", "name")).alias("head"))
     rows = asked.join(exact, (F.col("kind") == "siret") & (F.col("number") == F.col("e_number")), "left")
     rows = rows.join(head, (F.col("kind") != "vat") & (F.substring("number", 1, 9) == F.col("h_number")), "left")
     info = F.coalesce("exact", "head")
@@ -97,3 +100,21 @@ def analyse(docs: DataFrame, companies: DataFrame, vat_numbers: DataFrame | None
     confidence = F.when(F.col("asked").isNull(), 0.1).otherwise(0.5 + F.col("answered") * 0.5 / F.col("asked"))
     joined = docs.select("doc_id").join(by_doc, F.col("doc_id") == F.col("d"), "left")
     return joined.select("doc_id", F.lit("external").alias("module"), F.coalesce(back.cast(FLAGS), none()).alias("flags"), confidence.alias("confidence"))
+
+
+def reputation(files: DataFrame, scans: DataFrame, link: str = "") -> DataFrame:
+    """``files`` (file_hash) with reputation: what a scanning service said of the file, or null.
+
+    ``scans``: file_hash, http_status, body (JSON). 404 is a file the service does not know, 200 one that it knows
+    (malicious if any engine finds it malicious or suspicious), anything else no answer. ``link``: what the hash is put
+    behind to make a link. Of several answers for a hash a known one counts, else the smallest status.
+    """
+    best = scans.groupBy(F.col("file_hash").alias("h")).agg(F.min_by(F.struct("http_status", "body"), F.struct((F.col("http_status") != 200), "http_status", "body")).alias("scan"))
+    stats = F.from_json(F.get_json_object("scan.body", "$.data.attributes.last_analysis_stats"), "map<string,int>")
+    count = lambda kind: F.coalesce(F.try_element_at(stats, F.lit(kind)), F.lit(0))
+    bad, total = count("malicious") + count("suspicious"), F.aggregate(F.map_values(stats), F.lit(0), lambda a, x: a + x)
+    told = lambda status, malicious, n: F.struct(status.alias("status"), malicious.alias("malicious"), n.alias("total"), F.concat(F.lit(link), F.col("file_hash")).alias("link"))
+    known = F.when(stats.isNotNull(), told(F.when(bad > 0, "malicious").otherwise("clean"), bad, total))
+    status = F.col("scan.http_status")
+    answer = F.when(status == 404, told(F.lit("unknown"), F.lit(0), F.lit(0))).when(status == 200, known)
+    return files.join(best, F.col("file_hash") == F.col("h"), "left").withColumn("reputation", answer).drop("h", "scan")

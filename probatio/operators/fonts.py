@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import dims
-from probatio.flags import any_of, every, flag, none, when
+from probatio.flags import any_of, every, flag, judged, none, when
 from probatio.functions.text import strip
 
 
@@ -95,9 +95,14 @@ def midline(lines: Column) -> Column:
     return when(n > 0, flag(F.when(n >= 3, "high").otherwise("medium"), "FONTS_MIDLINE_CHANGE", message, total_suspicious_lines=n, suspicious_lines=shown))
 
 
-def analyse(docs: DataFrame) -> DataFrame:
-    """doc_id, module, flags, confidence of the fonts module. ``docs``: doc_id, fonts, lines (arrays, null as empty)."""
+def judge() -> tuple[Column, Column]:
+    """Flags and confidence of the fonts module, from the columns that analyse names."""
     empty = F.size(F.coalesce(F.col("fonts"), F.array())) <= 0
     rules = every(*(F.coalesce(rule, none()) for rule in (diversity(F.col("fonts")), system_fonts(F.col("fonts")), embedding(F.col("fonts")), mixed_subsets(F.col("fonts")), midline(F.col("lines")))))
     confidence = F.when(empty, 0.3).when(F.size("fonts") >= 3, 0.9).otherwise(0.7)
-    return docs.select("doc_id", F.lit("fonts").alias("module"), F.when(empty, none()).otherwise(rules).alias("flags"), confidence.alias("confidence"))
+    return F.when(empty, none()).otherwise(rules), confidence
+
+
+def analyse(docs: DataFrame) -> DataFrame:
+    """doc_id, module, flags, confidence of the fonts module. ``docs``: doc_id, fonts, lines (arrays, null as empty)."""
+    return judged(docs, "fonts", judge())

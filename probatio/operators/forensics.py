@@ -10,16 +10,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.flags import every, flag, none, when
+from probatio.flags import every, flag, judged, none, when
+from probatio.operators.regions import labelled
 
 # Side of a block, bins a side in its hash, levels a bin; least deviation, distance and group of clones.
 BLOCK, BINS, LEVEL = 16, 8, 16
 LEAST_DEVIATION, LEAST_DISTANCE, LEAST_GROUP, MOST_PIXELS, NEARLY_EQUAL = 15.0, 64, 10, 2_000_000, 3
 # Parts of an image with editing artifacts that make them minor and major.
 ELA_MINOR, ELA_MAJOR = 0.03, 0.05
+# Quality of the second JPEG, factor of the difference, deviations above the mean that are odd, least area
+# of an odd region, and least side of an image that is looked at.
+ELA_QUALITY, ELA_FACTOR, ELA_SIGMAS, ELA_AREA, ELA_SIDE = 95, 20, 3.0, 500, 200
+# Quantisation of brightness and of colour at quality 50, row by row (JPEG standard, annex K).
+LUMINANCE = (
+    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
+)
+CHROMINANCE = (
+    17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+)
 # Least side of a region, and least noise of a page that noise can be compared on.
 LEAST_REGION, LEAST_NOISE = 10, 1.0
 
+ELA = "array<struct<page:int,suspicious_ratio:double,n_zones:int,total_suspicious_area:double,zones:array<struct<x:int,y:int,w:int,h:int,area:double>>>>"
 CLONES = "n_groups int, total_clones int"
 REGION = "array<struct<page:int,region_var:double,around_var:double>>"
 
@@ -100,6 +114,103 @@ def region_noise(image: np.ndarray, boxes) -> list[tuple[float, float]]:
     return out
 
 
+def _cosines() -> np.ndarray:
+    """The orthonormal 8 x 8 cosine transform."""
+    n = np.arange(8)
+    table = np.cos((2 * n[None, :] + 1) * n[:, None] * np.pi / 16) / 2
+    table[0] /= np.sqrt(2)
+    return table
+
+
+def quantised(plane: np.ndarray, table, quality: int) -> np.ndarray:
+    """A plane of samples after the loss of one JPEG compression at a quality."""
+    scale = 200 - 2 * quality if quality >= 50 else 5000 // quality
+    steps = np.clip((np.array(table).reshape(8, 8) * scale + 50) // 100, 1, 255)
+    h, w = plane.shape
+    wide = np.pad(plane - 128.0, ((0, -h % 8), (0, -w % 8)), mode="edge")
+    blocks = wide.reshape(wide.shape[0] // 8, 8, wide.shape[1] // 8, 8).transpose(0, 2, 1, 3)
+    cosines = _cosines()
+    kept = np.rint(cosines @ blocks @ cosines.T / steps) * steps
+    back = (cosines.T @ kept @ cosines).transpose(0, 2, 1, 3).reshape(wide.shape)
+    return np.clip(np.rint(back + 128), 0, 255)[:h, :w]
+
+
+def _halved(plane: np.ndarray) -> np.ndarray:
+    wide = np.pad(plane, ((0, plane.shape[0] % 2), (0, plane.shape[1] % 2)), mode="edge")
+    return np.floor((wide[::2, ::2] + wide[1::2, ::2] + wide[::2, 1::2] + wide[1::2, 1::2]) / 4 + 0.5)
+
+
+def _doubled(plane: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Each sample spread over 2 x 2, three parts of the nearest and one of the next on each axis."""
+    for axis in (0, 1):
+        last = plane.shape[axis] - 1
+        at = np.arange(last + 1)
+        near, low, high = (np.take(plane, np.clip(at + d, 0, last), axis) for d in (0, -1, 1))
+        pair = np.stack(((3 * near + low) / 4, (3 * near + high) / 4), axis + 1)
+        plane = pair.reshape(*(2 * n if i == axis else n for i, n in enumerate(plane.shape)))
+    return np.rint(plane)[: shape[0], : shape[1]]
+
+
+def jpeg_again(image: np.ndarray, quality: int = ELA_QUALITY) -> np.ndarray:
+    """An image (height, width, BGR or one channel) as it is after saving it as JPEG with halved colour planes.
+
+    The codec is emulated: the loss is that of the quantised cosine transform; decoders differ from it by a level.
+    """
+    if image.shape[2] < 3:
+        return quantised(image[:, :, 0].astype(float), LUMINANCE, quality)[:, :, None].astype(np.uint8)
+    b, g, r = (image[:, :, i].astype(float) for i in range(3))
+    y = np.rint(0.299 * r + 0.587 * g + 0.114 * b)
+    cb, cr = np.rint(128 + (b - y) * 0.564334), np.rint(128 + (r - y) * 0.713267)
+    y = quantised(y, LUMINANCE, quality)
+    cb, cr = (_doubled(quantised(_halved(c), CHROMINANCE, quality), y.shape) - 128 for c in (cb, cr))
+    back = np.stack((y + 1.772 * cb, y - 0.344136 * cb - 0.714136 * cr, y + 1.402 * cr), 2)
+    return np.clip(np.rint(back), 0, 255).astype(np.uint8)
+
+
+def error_levels(image: np.ndarray) -> dict | None:
+    """Regions that lose abnormally much when the image is saved once more; None for small images.
+
+    A pixel is odd if its amplified loss is more than three deviations above the mean; a region of odd pixels counts
+    from an outlined area of 500 on.
+    """
+    h, w = image.shape[:2]
+    if h < ELA_SIDE or w < ELA_SIDE:
+        return None
+    loss = np.abs(image.astype(np.int16) - jpeg_again(image))
+    loud = np.minimum(255, loss * ELA_FACTOR).astype(np.uint8)
+    level = gray(h, w, loud.shape[2], loud.tobytes())
+    odd = level > level.mean() + ELA_SIGMAS * level.std()
+    zones = []
+    for region in labelled(odd):
+        if (area := region.outline_area()) >= ELA_AREA:
+            x, y, width, height = region.box
+            zones.append({"x": x, "y": y, "w": width, "h": height, "area": area})
+    zones.sort(key=lambda z: (z["y"], z["x"]))
+    total = sum(z["area"] for z in zones)
+    return {"suspicious_ratio": total / (h * w), "n_zones": len(zones), "total_suspicious_area": total, "zones": zones}
+
+
+def ela(pixels: Column) -> Column:
+    """The error levels of the images of a document: array<struct<page, height, width, nChannels, data>> in, ELA out.
+
+    Images below 200 pixels a side are left out; null is no images.
+    """
+
+    def measure(documents: pd.Series) -> pd.Series:
+        out = []
+        for images in documents:
+            rows = []
+            for image in images if images is not None else []:
+                shape = (image["height"], image["width"], image["nChannels"])
+                found = error_levels(np.frombuffer(image["data"], np.uint8).reshape(shape))
+                if found:
+                    rows.append({"page": image["page"], **found})
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(measure, ELA)(pixels)
+
+
 def with_clones(images: DataFrame) -> DataFrame:
     """``images`` (image) with the struct column clones: n_groups, total_clones. A null image has none."""
 
@@ -136,8 +247,13 @@ def ela_flags(images: Column) -> Column:
     return F.flatten(F.transform(images, told))
 
 
-def analyse(docs: DataFrame) -> DataFrame:
-    """doc_id, module, flags, confidence of the forensics module. ``docs``: doc_id, ela (null as empty)."""
+def judge(docs: DataFrame) -> tuple[Column, Column]:
+    """Flags and confidence of the forensics module, from the columns that analyse names."""
     n = F.greatest(F.size(F.coalesce(F.col("ela"), F.array().cast(dict(docs.dtypes)["ela"]))), F.lit(0))
     confidence = F.when(n == 0, 0.3).otherwise(F.least(F.lit(0.9), 0.5 + n * 0.1))
-    return docs.select("doc_id", F.lit("forensics").alias("module"), every(F.coalesce(ela_flags(F.col("ela")), none())).alias("flags"), confidence.alias("confidence"))
+    return every(F.coalesce(ela_flags(F.col("ela")), none())), confidence
+
+
+def analyse(docs: DataFrame) -> DataFrame:
+    """doc_id, module, flags, confidence of the forensics module. ``docs``: doc_id, ela (null as empty)."""
+    return judged(docs, "forensics", judge(docs))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import dims
-from probatio.flags import every, flag, none, when
+from probatio.flags import every, flag, judged, none, when
 
 
 def dpi(pixels: Column, points: Column) -> Column:
@@ -88,14 +88,19 @@ def paste_flags(regions: Column) -> Column:
     return F.transform(pasted, told)
 
 
+def judge(docs: DataFrame, regions: Column | None = None) -> tuple[Column, Column]:
+    """Flags and confidence of the images module, from the columns that analyse names."""
+    images, text, pages = F.coalesce(F.col("images"), F.array().cast(dict(docs.dtypes)["images"])), F.col("text_length"), F.col("page_count")
+    rules = [screenshots(images), resolution_mismatch(images), heavy_compression(images), image_count(images, pages), no_images(images, text), image_only(images, text, pages)]
+    if regions is not None:
+        rules.append(F.coalesce(paste_flags(regions), none()))
+    return every(*rules), F.when(F.size(images) > 0, 0.8).otherwise(0.5)
+
+
 def analyse(docs: DataFrame, regions: Column | None = None) -> DataFrame:
     """doc_id, module, flags, confidence of the images module.
 
     ``docs``: doc_id, images (null as empty), text_length, page_count; ``regions``: noise of amount regions, see
     forensics.paste_regions.
     """
-    images, text, pages = F.coalesce(F.col("images"), F.array().cast(dict(docs.dtypes)["images"])), F.col("text_length"), F.col("page_count")
-    rules = [screenshots(images), resolution_mismatch(images), heavy_compression(images), image_count(images, pages), no_images(images, text), image_only(images, text, pages)]
-    if regions is not None:
-        rules.append(F.coalesce(paste_flags(regions), none()))
-    return docs.select("doc_id", F.lit("images").alias("module"), every(*rules).alias("flags"), F.when(F.size(images) > 0, 0.8).otherwise(0.5).alias("confidence"))
+    return judged(docs, "images", judge(docs, regions))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import dims
-from probatio.flags import any_of, every, first_word, flag, none, when
+from probatio.flags import any_of, every, first_word, flag, judged, none, when
 from probatio.functions.text import duration
 
 
@@ -56,14 +56,18 @@ def date_rules(created: Column, modified: Column, as_of: Column) -> Column:
     return every(when(created > as_of + F.expr("INTERVAL 1 DAY"), future), when(apart > 2, changed), when(modified < created, earlier))
 
 
+def judge() -> tuple[Column, Column]:
+    """Flags and confidence of the metadata module, from the columns that analyse names."""
+    m = F.col("metadata")
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    made, dated = has(m["producer"]) | has(m["creator"]), m["creation_date"].isNotNull()
+    flags = every(producer_rules(m["producer"], m["creator"]), missing_rules(F.col("raw_metadata")))
+    return flags, F.when(made & dated, 1.0).when(made | dated, 0.7).otherwise(0.3)
+
+
 def analyse(docs: DataFrame) -> DataFrame:
     """doc_id, module, flags, confidence of the metadata module.
 
     ``docs``: doc_id, metadata struct (producer, creator, creation_date, ...), raw_metadata map.
     """
-    m = F.col("metadata")
-    has = lambda c: F.coalesce(c, F.lit("")) != ""
-    made, dated = has(m["producer"]) | has(m["creator"]), m["creation_date"].isNotNull()
-    flags = every(producer_rules(m["producer"], m["creator"]), missing_rules(F.col("raw_metadata")))
-    confidence = F.when(made & dated, 1.0).when(made | dated, 0.7).otherwise(0.3)
-    return docs.select("doc_id", F.lit("metadata").alias("module"), flags.alias("flags"), confidence.alias("confidence"))
+    return judged(docs, "metadata", judge())

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import dims
-from probatio.flags import any_of, every, flag, none, when
+from probatio.flags import any_of, every, flag, judged, none, when
 from probatio.functions.text import find_all, let
 from probatio.operators import metadata
 
@@ -35,11 +35,6 @@ def version_ends(body: Column) -> Column:
     return F.transform(find_all(body, EOF), lambda m: m["start"] + F.length(m["match"]))
 
 
-def version_bodies(body: Column) -> Column:
-    """The file as it was after each save."""
-    return F.transform(version_ends(body), lambda end: F.substr(body, F.lit(1), end))
-
-
 def has_signature(body: Column) -> Column:
     return body.rlike(r"/Type\s*/Sig\b|/SubFilter\s*/adbe\.pkcs7|/SubFilter\s*/ETSI")
 
@@ -48,6 +43,40 @@ def is_trusted(body: Column, signature: Column) -> Column:
     return has_signature(body) & F.coalesce(signature["is_trusted"], F.lit(False))
 
 
+def signature_report(status: Column, body: Column) -> Column:
+    """What a validation service answered, as SIGNATURE; null where it did not answer.
+
+    ``status``: of the HTTP answer; ``body``: its JSON. Another status than 200 is an invalid signature. A qualified
+    certificate (QC or QES in the level) makes a signature trusted and valid, even where its validity is indeterminate.
+    """
+    get = lambda path: F.get_json_object(body, f"$.SimpleReport.{path}")
+    first = "signatureOrTimestampOrEvidenceRecord[0]"
+    level = F.coalesce(get(f"{first}.Signature.SignatureLevel.value"), get(f"{first}.Signature.SignatureLevel"), F.lit(""))
+    level = F.when(level.startswith("{"), "").otherwise(level)
+    qualified, counted = level.rlike("QC|QES"), F.coalesce(get("ValidSignaturesCount").try_cast("int"), F.lit(0)) > 0
+    yes, no = F.lit(True), F.lit(False)
+
+    def told(signer, level_, trusted, fully, valid, unverifiable):
+        names = ("signer", "level", "is_trusted", "is_fully_valid", "is_valid", "unverifiable")
+        return F.struct(*(v.alias(n) for n, v in zip(names, (signer, level_, trusted, fully, valid, unverifiable)))).cast(SIGNATURE)
+
+    nothing = F.lit(None).cast("string")
+    empty = told(nothing, nothing, no, no, no, yes)
+    found = told(F.coalesce(get(f"{first}.Signature.SignedBy"), F.lit("")), level, qualified, counted, counted | qualified, no)
+    return F.when(status.isNull(), None).when(status != 200, told(nothing, nothing, no, no, no, no)).when(get(first).isNull(), empty).otherwise(found)
+
+
+def with_reports(docs: DataFrame, reports: DataFrame) -> DataFrame:
+    """``docs`` (file_hash, body) with the column signature, from a table of answers: file_hash, http_status, body.
+
+    Files without a signature have no report. Of several answers of a hash that with the smallest status counts.
+    """
+    answers = reports.groupBy(F.col("file_hash").alias("h")).agg(F.min_by(F.struct("http_status", "body"), F.struct("http_status", "body")).alias("answer"))
+    joined = docs.join(answers, F.col("file_hash") == F.col("h"), "left")
+    report = signature_report(F.col("answer.http_status"), F.col("answer.body"))
+    return joined.withColumn("signature", F.when(has_signature(F.col("body")), report)).drop("h", "answer")
+
+
 def incremental_updates(body: Column, signature: Column) -> Column:
     """What is known of a signature, and the saves after the first; a trusted signature excuses one of them.
 
@@ -199,22 +228,29 @@ def line_diff(versions: DataFrame) -> DataFrame:
     return wanted.mapInPandas(compare, schema)
 
 
-def analyse(docs: DataFrame, as_of: Column) -> DataFrame:
-    """doc_id, module, flags, confidence of the structure module.
-
-    ``docs``: doc_id, body, producer, creator, created, modified, signature, annotations, files, widgets; the last
-    four may be null.
-    """
+def judge(docs: DataFrame, as_of: Column) -> tuple[Column, Column]:
+    """Flags and confidence of the structure module, from the columns that analyse names."""
     body = F.coalesce(F.col("body"), F.lit(""))
+    objects, xmp = (F.coalesce(F.col(c), F.lit("")) if c in docs.columns else body for c in ("objects", "xmp"))
     signature = F.col("signature").cast(SIGNATURE)
     rules = [
         incremental_updates(body, signature),
-        javascript(body, F.col("annotations")),
+        javascript(objects, F.col("annotations")),
         annotation_rules(F.col("annotations")),
         embedded_files(F.col("files")),
         acroform(F.col("widgets")),
         deleted_objects(body, is_trusted(body, signature)),
         metadata.date_rules(F.col("created"), F.col("modified"), as_of),
-        xmp_mismatch(body, F.col("producer"), F.col("creator")),
+        xmp_mismatch(xmp, F.col("producer"), F.col("creator")),
     ]
-    return docs.select("doc_id", F.lit("structure").alias("module"), every(*(F.coalesce(r, none()) for r in rules)).alias("flags"), F.lit(0.95).alias("confidence"))
+    return every(*(F.coalesce(r, none()) for r in rules)), F.lit(0.95)
+
+
+def analyse(docs: DataFrame, as_of: Column) -> DataFrame:
+    """doc_id, module, flags, confidence of the structure module.
+
+    ``docs``: doc_id, body, producer, creator, created, modified, signature, annotations, files, widgets; the last
+    four may be null. Where a reader gives the text of the objects (objects) and the metadata stream (xmp), scripts and
+    the toolkit are looked for there and not among the bytes of streams.
+    """
+    return judged(docs, "structure", judge(docs, as_of))

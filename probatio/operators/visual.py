@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import dims
-from probatio.flags import any_of, every, flag, none, when
+from probatio.flags import any_of, every, flag, judged, none, when
 from probatio.functions.text import CASELESS, domain
 
 
@@ -58,16 +58,21 @@ def qr_rules(codes: Column, expected: Column) -> Column:
     return F.flatten(F.transform(codes, told))
 
 
+def judge(check_qr: bool = True, expected: Column | None = None) -> tuple[Column, Column]:
+    """Flags and confidence of the visual module, from the columns that analyse names."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rules = [watermarks(text), converter_marks(text)]
+    if check_qr:
+        rules.append(F.coalesce(qr_rules(F.col("qr_codes"), expected if expected is not None else sender_domains(text)), none()))
+    return every(*rules), F.lit(0.9 if check_qr else 0.7)
+
+
 def analyse(docs: DataFrame, check_qr: bool = True, expected: Column | None = None) -> DataFrame:
     """doc_id, module, flags, confidence of the visual module. ``docs``: doc_id, text, qr_codes array<struct<data, page>>.
 
     Hosts expected of QR codes are those that the text names, unless given.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rules = [watermarks(text), converter_marks(text)]
-    if check_qr:
-        rules.append(F.coalesce(qr_rules(F.col("qr_codes"), expected if expected is not None else sender_domains(text)), none()))
-    return docs.select("doc_id", F.lit("visual").alias("module"), every(*rules).alias("flags"), F.lit(0.9 if check_qr else 0.7).alias("confidence"))
+    return judged(docs, "visual", judge(check_qr, expected))
 
 
 def amount_regions(blocks: Column, zoom: float = 2.0) -> Column:

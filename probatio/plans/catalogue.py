@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that register queries; each has QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("invoices", "files", "structures", "pixels")
+MODULES: tuple[str, ...] = ("invoices", "files", "structures", "pixels", "pdfs", "scores")
 
 
 def _merged(attribute: str) -> dict:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, a laptop) a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams")
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one if everything runs in one JVM."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="streams")
 
 
 def flag_windows(events: DataFrame, width: str = "1 day", delay: str = "1 hour", time: str = "ts", kind: str = "event_type") -> DataFrame:
@@ -35,3 +39,20 @@ def drain(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def score_files(files: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Score a stream of files, a batch at a time, and give all scores written so far.
+
+    ``score`` maps a batch of files to rows; a batch is written to a folder of its own name, so one that is run again
+    after a failure replaces what it wrote and no file counts twice.
+    """
+    spark = files.sparkSession
+    rows = f"{folder}/rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{rows}/batch={number}")
+
+    query = files.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.option("basePath", rows).parquet(rows).drop("batch")
