@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import checkpointed, free_name, meet
+from probatio.llm.common import WORD, checkpointed, free_name, meet
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: Bands and signature values in a band: at similarity 0.8 a pair shares no band with probability 5e-5.
@@ -357,18 +357,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of ``docs``, all columns, in a checkpoint: of each group of near duplicates the row with the smallest doc_id.
+    """The rows of ``docs``, all columns: of each group of near duplicates the row with the smallest doc_id.
 
-    Null ids come last. Of rows that repeat id and text the first of the checkpoint stays. Texts without words all stay.
+    Null ids come last; of equal ids with different texts that with the smaller digest stays. Of rows that repeat id and
+    text one stays, any of them where further columns differ. Texts without words all stay.
     """
     columns = docs.columns
-    row, key = free_name(docs, "row"), free_name(docs, "key")
-    # Numbered once and kept, so that a lost executor cannot number the rows anew.
-    place = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(key, F.md5(F.coalesce("text", F.lit("")))))
-    classes = checkpointed(join_classes(docs, threshold, tolerance).select(F.col("key").alias("k"), "group", "has_words", "n_docs"))
+    key, found, of, id_ = (free_name(docs, n) for n in ("key", "found", "of", "id"))
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    has_words = F.coalesce(F.col("text").rlike(f"(?s){WORD}"), F.lit(False))
+    classes = checkpointed(join_classes(docs, threshold, tolerance).where("has_words").select(F.col("key").alias("k"), "group", "n_docs"))
     n_docs = classes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    slim = place.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row")).alias("at"), F.col(key).alias("key"))
+    slim = keyed.where(has_words).select("doc_id", F.col(key).alias("key")).groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     ranked = meet(slim, classes, "key", "k", _hot(classes, "k", "n_docs", n_docs))
-    of = F.when(F.col("has_words"), F.col("group")).otherwise(F.concat_ws(" ", "group", F.col("at.row")))
-    keep = ranked.groupBy(of.alias("of")).agg(F.min("at").alias("first")).select(F.col("first.row").alias("kept"))
-    return place.join(keep, F.col(row) == F.col("kept"), "left_semi").select(*(f"`{c}`" for c in columns))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")).alias("first")
+    winners = checkpointed(ranked.groupBy("group").agg(first).select(F.col("first.doc_id").alias(id_), F.col("first.key").alias(of), F.col("first.n").alias(found)))
+    kept = keyed.where(has_words).join(winners, (F.col(key) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(id_)))
+    repeated = kept.where(F.col(found) > 1).dropDuplicates([key])  # a text that wins has one winning id
+    every = kept.where(F.col(found) == 1).unionByName(repeated).select(*(f"`{c}`" for c in columns))
+    return every.unionByName(docs.where(~has_words))
