@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatio.operators.forensics import gray
-from probatio.operators.regions import labelled
+from probatio.operators.regions import boxes
+from probatio.sources.spread import each
 
 # Darkest gray that is no ink; sides, shapes and dark parts that a code can have.
 INK, LEAST_SIDE, MOST_SIDE = 80, 60, 300
@@ -20,8 +21,7 @@ COARSE, FINE = 100, 200
 def is_candidate(image: np.ndarray) -> bool:
     """Whether a connected dark region has the size, shape and density of a code. ``image``: gray levels."""
     dark = image <= INK
-    for region in labelled(dark):
-        x, y, w, h = region.box
+    for x, y, w, h in boxes(dark):
         if not (LEAST_SIDE <= w <= MOST_SIDE and LEAST_SIDE <= h <= MOST_SIDE) or not ASPECT[0] < w / h < ASPECT[1]:
             continue
         if DENSITY[0] < dark[y : y + h, x : x + w].mean() < DENSITY[1]:
@@ -35,17 +35,13 @@ def with_candidates(images: DataFrame) -> DataFrame:
     Decoding is slow and runs on quarters that pass only. A null image has none.
     """
 
-    def judge(image: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for row in image.itertuples(index=False):
-            if row.data is None:
-                found.append((False, False))
-                continue
-            page = gray(int(row.height), int(row.width), int(row.nChannels), row.data)
-            found.append(tuple(is_candidate(part) for _, part in quarters(page)))
-        return pd.DataFrame(found, columns=["top_left", "top_right"])
-
-    judged = images.withColumn("found", F.pandas_udf(judge, "top_left boolean, top_right boolean")(F.col("image")))
+    def judge(image: dict | None) -> dict:
+        if image is None or image["data"] is None:
+            return {"top_left": False, "top_right": False}
+        page = gray(image["height"], image["width"], image["nChannels"], image["data"])
+        return {name: is_candidate(part) for name, part in quarters(page)}
+
+    judged = images.withColumn("found", each(judge, "struct<top_left:boolean,top_right:boolean>", F.col("image")))
     return judged.select("*", "found.*").drop("found")
 
 
@@ -94,12 +90,9 @@ def scan_files(files: DataFrame, rasterise, decode) -> DataFrame:
 def scan_images(images: DataFrame, decode) -> DataFrame:
     """doc_id, quarter, payload of the code in each of ``images`` (doc_id, image), if any; one size serves both looks."""
 
-    def scan(image: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in image.itertuples(index=False):
-            drawn = None if row.data is None else gray(int(row.height), int(row.width), int(row.nChannels), row.data)
-            out.append(first_code(lambda _, drawn=drawn: drawn, decode) or (None, None))
-        return pd.DataFrame(out, columns=["quarter", "payload"])
+    def scan(image: dict | None) -> dict:
+        drawn = None if image is None or image["data"] is None else gray(image["height"], image["width"], image["nChannels"], image["data"])
+        return dict(zip(("quarter", "payload"), first_code(lambda _: drawn, decode) or (None, None)))
 
-    found = images.select("doc_id", F.pandas_udf(scan, "quarter string, payload string")(F.col("image")).alias("code"))
+    found = images.select("doc_id", each(scan, "struct<quarter:string,payload:string>", F.col("image")).alias("code"))
     return found.select("doc_id", "code.*").where("payload IS NOT NULL")
