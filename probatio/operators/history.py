@@ -1,22 +1,21 @@
 """What changed between the saves of a file: texts, objects and tools of its versions.
 
-A version is the file up to an end marker. All versions of a file are read where the file is, one after the other, so
-the work of a file grows with its saves times its size and nothing but the findings leaves the task.
+A version is the file up to an end marker. All versions of a file are read where the file is, one after the other,
+each from where the last one ends, and nothing but the findings leaves the task.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import dims
 from probatio.operators.structure import object_kind
 from probatio.sources.pdf import Pdf
+from probatio.sources.spread import each
 
 _END = re.compile(rb"%%EOF[\r\n]*")
 CHANGED = "array<struct<page:int,removed:array<string>,added:array<string>>>"
@@ -26,8 +25,11 @@ STEP = f"struct<from_version:int,to_version:int,from_tool:string,to_tool:string,
 
 
 def versions(data: bytes) -> list[Pdf]:
-    """The file as it was after each save."""
-    return [Pdf(data[: m.end()]) for m in _END.finditer(data)]
+    """The file as it was after each save; each is read from where the one before it ends."""
+    out: list[Pdf] = []
+    for m in _END.finditer(data):
+        out.append(Pdf(data[: m.end()], out[-1] if out else None))
+    return out
 
 
 def tool(pdf: Pdf) -> str:
@@ -90,12 +92,7 @@ def steps(data: bytes) -> list[dict]:
 
 
 def _by_file(kind: str, find) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for contents in batches:
-            yield pd.Series([find(bytes(c)) if c else [] for c in contents], dtype=object)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, f"array<{kind}>")(F.col("content"))
+    return each(lambda data: find(data) if data else [], f"array<{kind}>", F.col("content"))
 
 
 def version_texts(files: DataFrame) -> DataFrame:
