@@ -91,6 +91,18 @@ def features(text: str) -> np.ndarray:
     return (counts / max(1, counts.sum())).astype(np.float32)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The values of the slots that are not 0, then those slots: of most texts a small part of all."""
+    slots = np.flatnonzero(x)
+    return x[slots].astype(np.float32).tobytes() + slots.astype(np.uint16).tobytes()
+
+
+def unpack(data: bytes, into: np.ndarray) -> None:
+    """Puts what ``packed`` gave into a row of zeros."""
+    n = len(data) // 6
+    into[np.frombuffer(data, np.uint16, n, 4 * n)] = np.frombuffer(data, np.float32, n)
+
+
 def _machine(x: np.ndarray, positive: np.ndarray, rows: np.ndarray | None = None, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by accelerated gradient descent over the chosen rows; classes weigh the same in total.
 
@@ -204,7 +216,7 @@ def fit(docs: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> Mo
     """Learn from the rows of the training folds (crc32 of doc_id mod 3 is not 1) with text and lang.
 
     At most about ``rows_per_language`` rows of each language are taken, by a hash of doc_id and text, and at most
-    TRAIN_ROWS in all; their features are made on the executors and only those (a fixed number of floats each) reach
+    TRAIN_ROWS in all; their features are made on the executors and only those (a number for each slot that a text has) reach
     the driver. At most MOST_LANGUAGES languages are learned.
     """
     train = docs.select("doc_id", "text", "lang").where((fold(F.col("doc_id"), FOLDS) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -216,12 +228,12 @@ def fit(docs: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> Mo
     share = F.element_at(F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, rows_per_language / n)))), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
     # Rows that repeat are drawn together, so they are learned from once.
-    sample = train.where(F.col("lang").isin(list(counts)) & drawn).dropDuplicates(["doc_id", "text", "lang"]).select("lang", F.pandas_udf(lambda t: t.map(lambda s: features(s).tobytes()), "binary")(F.col("text")).alias("x"))
+    sample = train.where(F.col("lang").isin(list(counts)) & drawn).dropDuplicates(["doc_id", "text", "lang"]).select("lang", F.pandas_udf(lambda t: t.map(lambda s: packed(features(s))), "binary")(F.col("text")).alias("x"))
     # Written once, then read a few rows at a time into the one matrix that the driver holds.
     sample = checkpointed(sample)
     x, y = np.zeros((sample.count(), SLOTS), np.float32), []
     for row in sample.coalesce(8).toLocalIterator():
-        x[len(y)] = np.frombuffer(row["x"], np.float32)
+        unpack(row["x"], x[len(y)])
         y.append(row["lang"])
     return Model(sorted(set(y)), x, np.array(y, object))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import WORD, checkpointed, free_name, meet
+from probatio.llm.common import WORD, checkpointed, free_name, hot_keys, meet
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: Bands and signature values in a band: at similarity 0.8 a pair shares no band with probability 5e-5.
@@ -191,38 +191,36 @@ def link(keys: list, texts: list, sizes: np.ndarray, left: np.ndarray, right: np
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph of (a, b) edges; component is the smallest node.
 
-    Alternating large and small stars: every round is a fixed number of aggregations and joins over the edges, cut
-    by a checkpoint; rounds grow with the logarithm of the longest path. Minima are combined before the shuffle, and
+    Alternating large and small stars: every round is a fixed number of aggregations and joins over the edges, each half
+    cut by a checkpoint; rounds grow with the logarithm of the longest path. Minima are combined before the shuffle, and
     the few nodes with very many edges are joined by broadcast, so no task gets all edges of a node.
     """
     current = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     if current.isEmpty():
         return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    state, hot = _state(current)
-    while True:
-        # Every node with its smallest neighbour; the larger neighbours move there.
+    while not _settled(current):
+        # Every node with its smallest neighbour; the larger neighbours move there. Only smaller ends can have that many
+        # edges that they are hot: of the larger ends each edge has its own or few.
         both = current.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = meet(both.where("v > u"), least, "u", "w", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = meet(both.where("v > u"), least, "u", "w", hot_keys(current, "v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Read three times from here: without a cut the plan would hold it three times, and the driver plans, draws and
+        # keeps every version of it.
+        large = checkpointed(large)
         # Then every node moves its smaller neighbours, of which hubs have none, to the smallest.
         down = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         moved = large.join(down, F.col("u") == F.col("w"))
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
-        current, was = checkpointed(small), state
-        state, hot = _state(current)
-        if state == was:
-            break
+        current = checkpointed(small)
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return checkpointed(current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
 
 
-def _state(edges: DataFrame) -> tuple[tuple, list]:
-    """Number and sum of hashes of the edges, equal for equal sets, and the nodes with more than 1/256 of them.
-
-    One pass without a shuffle. Only smaller ends can have that many: of the larger ends each edge has its own or few.
-    """
-    n, h, top = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.expr("approx_top_k(v, 255, 10000)")).first()
-    return (n, h), [row["item"] for row in top or [] if row["count"] * 256 > n]
+def _settled(edges: DataFrame) -> bool:
+    """Whether all larger ends have one edge and are no smaller ends: each node hangs at the smallest of its component."""
+    end = lambda node, up: F.struct(F.col(node).alias("w"), F.lit(up).alias("up"), F.lit(1 - up).alias("low"))
+    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+    return not ends.groupBy("w").agg(F.sum("up").alias("up"), F.max("low").alias("low")).agg(F.expr("bool_or(up + low > 1 AND up > 0)")).first()[0]
 
 
 def _signatures(texts: pd.Series) -> pd.Series:

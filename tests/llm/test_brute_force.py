@@ -127,6 +127,28 @@ def test_components(spark):
     assert all(found[f"p{i:03}"] == "p000" for i in range(61)) and all(found[f"x{i}"] == "hub" for i in range(400))
 
 
+def test_components_take_few_jobs(spark):
+    """Stars need no round, only a look: the driver plans every round and keeps what Spark tells of it."""
+    stars = spark.createDataFrame([("ab"[i % 2], f"x{i:03}") for i in range(400)], "a string, b string")
+    spark.sparkContext.setJobGroup("stars", "stars")
+    found = {r["node"]: r["component"] for r in near_duplicates.components(stars).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stars"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {f"x{i:03}": "ab"[i % 2] for i in range(400)} | {"a": "a", "b": "b"}
+    assert jobs <= 12, jobs
+
+
+def test_features_travel_packed(docs):
+    """What reaches the driver of a text is what its features hold, and a fraction of the bytes."""
+    sizes = []
+    for text in ["", "a", "élan \U0001f600 ab" * 9, *[t for t in docs.values() if t][:50]]:
+        x, back = language.features(text), language.np.zeros(language.SLOTS, language.np.float32)
+        language.unpack(data := language.packed(x), back)
+        assert back.tobytes() == x.tobytes()
+        sizes.append(len(data))
+    assert sum(sizes) < 0.5 * 4 * language.SLOTS * len(sizes)
+
+
 def best_distance(item, text):
     """Sellers' algorithm: the least edit distance of the item to a passage."""
     column = list(range(len(item) + 1))
