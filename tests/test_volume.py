@@ -77,3 +77,44 @@ def test_flat_blocks_are_compressed_like_others():
     for y in range(0, 32, 8):
         for x in range(0, 40, 8):
             assert (whole[y : y + 8, x : x + 8] == forensics.quantised(plane[y : y + 8, x : x + 8], forensics.LUMINANCE, 95)).all()
+
+
+def pasted(height, width, at):
+    """A calm image with one block at each of the places."""
+    image = np.full((height, width), 128, np.uint8)
+    block = np.random.default_rng(7).integers(0, 256, (16, 16))
+    for x, y in at:
+        image[y : y + 16, x : x + 16] = block
+    return image
+
+
+def test_clones_of_images_above_two_million_pixels_are_found(spark):
+    at = [(x, y) for y in (0, 640, 1280) for x in (0, 320, 640, 960)]
+    image = pasted(1601, 1300, at)
+    assert image.size > 2_000_000 and forensics.clone_groups(image) == [at]
+    rows = spark.createDataFrame([((1601, 1300, 1, image.tobytes()),)], "image struct<height:int,width:int,nChannels:int,data:binary>")
+    assert forensics.with_clones(rows).first()["clones"].asDict() == {"n_groups": 1, "total_clones": 12}
+
+
+def test_far_copies_by_brute_force():
+    """Places of nearly equal blocks by all pairs: equal ones, noisy ones, and noise in which few or none are alike."""
+    random = np.random.default_rng(11)
+    for n, levels in ((12, 1), (40, 6), (300, 9), (300, 13), (700, 12)):
+        blocks = (random.integers(0, 2, (1, 256)) * 160 + random.integers(0, levels, (n, 256))).astype(np.uint8)
+        blocks[random.integers(0, n, n // 3)] = blocks[0]
+        at = random.choice(30 * 30, n, replace=False)
+        at = np.stack(divmod(at, 30), 1) * 16 // (4 if levels == 6 else 1)
+        far = np.abs(at[:, None] - at[None]).sum(2) >= forensics.LEAST_DISTANCE
+        alike = np.abs(blocks[:, None].astype(int) - blocks[None]).sum(2) < forensics.NEARLY_EQUAL * 256
+        assert forensics.far_copies(at, blocks).tolist() == (far & alike).any(1).tolist()
+
+
+def test_blocks_are_cut_alike_some_rows_at_a_time(monkeypatch):
+    image = np.random.default_rng(2).integers(0, 256, (300, 200)).astype(np.uint8)
+    image[:150] = image[:150] // 6  # about as uneven as a block must be
+    whole = forensics.block_hashes(image)
+    spots = [(x, y) for y in range(0, 284, 16) for x in range(0, 184, 16) if image[y : y + 16, x : x + 16].std() >= forensics.LEAST_DEVIATION]
+    assert [tuple(p) for p in whole[0].tolist()] == spots
+    monkeypatch.setattr(forensics, "CUT", 1)
+    for a, b in zip(whole, forensics.block_hashes(image)):
+        assert (a == b).all()
