@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from probatio.operators import forensics, history
 from probatio.operators.regions import boxes, labelled
@@ -118,3 +119,20 @@ def test_blocks_are_cut_alike_some_rows_at_a_time(monkeypatch):
     monkeypatch.setattr(forensics, "CUT", 1)
     for a, b in zip(whole, forensics.block_hashes(image)):
         assert (a == b).all()
+
+
+def test_large_images_of_files_are_searched_for_clones(spark, monkeypatch):
+    at = [(x, y) for y in (0, 640, 1280) for x in (0, 320, 640, 960)]
+    monkeypatch.setattr(derived_pdf, "SIDE", 1601)
+    monkeypatch.setattr(derived_pdf, "noise_image", lambda key, repeated: pasted(1601, 1601, at))
+    files_ = spark.createDataFrame([(1, bytearray(derived_pdf.build(1, 10_000, "20010203")))], "doc_id long, content binary")
+    rows = files_.select(F.explode(files.read(F.col("content"), "pixels")["pixels"]).alias("i")).select("i.page", F.struct("i.height", "i.width", "i.nChannels", "i.data").alias("image"))
+    assert [tuple(r) for r in forensics.with_clones(rows).select("page", "clones.*").orderBy("page").collect()] == [(1, 1, 12), (2, 1, 12)]
+
+
+def test_colours_become_gray_alike_some_rows_at_a_time(monkeypatch):
+    data = np.random.default_rng(4).integers(0, 256, (301, 40, 3)).astype(np.uint8)
+    whole = np.rint(data @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+    assert (forensics.gray(301, 40, 3, data.tobytes()) == whole).all()
+    monkeypatch.setattr(forensics, "CUT", 100)
+    assert (forensics.gray(301, 40, 3, data.tobytes()) == whole).all()
