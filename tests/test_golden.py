@@ -1,5 +1,6 @@
 """Known inputs and what must be found in them."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -256,3 +257,23 @@ def test_equal_themes_go_by_the_order_of_flags(spark):
     row = judged(spark, [("content", "high", "CONTENT_INVALID_SIRET", {"siret": "1"}), ("metadata", "high", "META_ONLINE_CONVERTER", {"detected_tool": "x"})])
     assert row["theme"] == "origin"
     assert judged(spark, [])["theme"] is None and judged(spark, [])["bullets"] == []
+
+
+def test_summaries_read_the_modules_once_and_bullets_are_those_of_plain_rules(spark):
+    """One aggregation and no join; at most two sentences a theme, no code and no sentence twice, most severe first."""
+    draw, ranks = random.Random(5), {s: i for i, s in enumerate(dims.SEVERITY_RANK)}
+    codes, order = sorted(set(dims.THEME_OF) - set(dims.SENTENCES) - {"META_DOCUMENT_MODIFIED", "CONTENT_FAR_FUTURE_DATE"}) + ["UNKNOWN"], {m: i for i, m in enumerate(dims.MODULE_ORDER)}
+    rows = [(d, m, [(draw.choice(list(ranks)), draw.choice(codes), draw.choice("abcdefgh"), {}) for _ in range(draw.choice([0, 1, 4]))], 1.0) for d in range(30) for m in order]
+    said = summary.summaries(spark.createDataFrame(rows, f"doc_id long, module string, flags {FLAGS}, confidence double"))
+    plan = said._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate [") == 1
+    found = {r["doc_id"]: r["bullets"] for r in said.collect()}
+    for d in range(30):
+        mine = sorted((ranks[s], order[m], i, c, text) for doc, m, flags, _ in rows if doc == d for i, (s, c, text, _) in enumerate(flags) if s != "low")
+        codes_, texts, by_theme = set(), set(), {name: [] for name in dims.THEME_ORDER}
+        for _, _, _, code, text in mine:
+            if code not in codes_ and text not in texts:
+                by_theme.get(dims.THEME_OF.get(code, "other"), []).append(text)
+                texts.add(text)
+            codes_.add(code)
+        assert found[d] == [text for name in dims.THEME_ORDER for text in by_theme[name][:2]]
